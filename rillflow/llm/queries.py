@@ -34,6 +34,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), carry=digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.toxicity import fit, fold, score
+
+    docs, held = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    model = fit(docs, table(spark, sf_dir, "labels"), usable=~held)
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_huffman_ids(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from rillflow.llm.huffman_ids import ids_digest, read_ids, write_ids
 
@@ -54,6 +74,9 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_license_scan": op7_license_scan,
     "op10_huffman_ids": op10_huffman_ids,
 }
 ORACLES = {"op4_exact_dedup": ORACLE_OP4}
