@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from rillflow.llm.common import batch_of, factorised, gathered, slices_of
+from rillflow.llm.common import batch_of, factorised, gathered, no_cycles, slices_of
 
 #: White space as the vocabulary's split pattern knows it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -180,6 +180,10 @@ class ByteBPE:
         return PIECE.findall(text)
 
     def _ids(self, met: list[str]) -> list[bytes]:
+        with no_cycles():
+            return self._held(met)
+
+    def _held(self, met: list[str]) -> list[bytes]:
         missing = [p for p in met if p not in self.pieces]
         if len(self.pieces) + len(missing) > self.cache:  # what this run of texts uses stays
             self.pieces = {p: self.pieces[p] for p in met if p in self.pieces}
@@ -263,6 +267,21 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     return encoded.select(id_col, ids_col).mapInArrow(run, "doc_id long, text string")
 
 
+def bpe_encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids binary, text): each text's ids, and the text that they decode to, in one pass."""
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+
+    def run(batches):
+        bpe = tokenizer(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                ids = bpe.encode(part.column(1))
+                yield batch_of(out, part.column(0).cast(pa.int64()), [x.tobytes() for x in ids], [bpe.decode(x) for x in ids])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode of each text in one pass, as digests."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

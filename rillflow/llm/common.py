@@ -8,9 +8,11 @@ with the corpus.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -146,6 +148,18 @@ def word_lists(column: pa.Array, table: np.ndarray = WORDS) -> tuple[list[str],
     return met, which, per_text
 
 
+@contextmanager
+def no_cycles():
+    """Without the search for reference cycles, which would walk the caches again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def factorised(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct strings, the number of each value among them, and each row's count of values."""
     coded = lists.flatten().dictionary_encode()

@@ -15,6 +15,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from rillflow.llm.bpe import bpe_round_trip
 
@@ -54,6 +60,19 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item; clean documents have no row."""
+    from rillflow.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.ctw_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_huffman_ids(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from rillflow.llm.huffman_ids import ids_digest, read_ids, write_ids
 
@@ -70,13 +89,46 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+#: The same units as in rillflow.llm.decontaminate.
+UNITS = "kilograms?|kg|grams?|g|mg|pounds?|lbs?|oz|kilomet(?:er|re)s?|km|met(?:er|re)s?|m|cm|mm|miles?|mi|feet|foot|ft|inch(?:es)?|hours?|hrs?|h|minutes?|mins?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|usd|euros?|eur|cents?|percent|lit(?:er|re)s?|l|ml"
+ORACLE_OP8 = rf"""
+WITH forms AS (
+  SELECT item_id AS id, 0 AS form, regexp_replace(coalesce(text, ''), '([a-z0-9,;] )([A-Z][a-z])', '\1¤\2', 'g') AS t, true AS item FROM benchmark
+  UNION ALL SELECT item_id, 1, coalesce(text, ''), true FROM benchmark
+  UNION ALL SELECT doc_id, 0, regexp_replace(coalesce(text, ''), '([a-z0-9,;] )([A-Z][a-z])', '\1¤\2', 'g'), false FROM documents
+), words AS (
+  SELECT id, form, item, regexp_extract_all(regexp_replace(lower(t), '([0-9] ?)((?:{UNITS})(?:[^0-9a-z]|$))', '\1¦\2', 'g'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM forms
+), slots AS (
+  SELECT id, form, item, w, list_transform(w, lambda x: CASE WHEN x[1] = '¤' THEN '¤' WHEN x[1] = '¦' THEN '¦' WHEN regexp_matches(x, '^[0-9]') THEN '0' ELSE x END) AS c FROM words WHERE len(w) >= 5
+), wins AS (
+  SELECT id, form, item, c[i:i + 4] AS k, w[i:i + 4] AS v FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM slots)
+), sizes AS (
+  SELECT id AS item_id, form, count(DISTINCT k) AS n_windows FROM wins WHERE item GROUP BY ALL
+), hits AS (
+  SELECT d.id AS doc_id, b.id AS item_id, b.form, b.k, list_zip(b.v, d.v, b.k) AS z FROM wins d JOIN wins b ON d.k = b.k WHERE NOT d.item AND b.item
+), pairs AS (
+  SELECT doc_id, item_id, form, count(DISTINCT p[1]) AS n_slots, count(DISTINCT (p[1], p[2])) AS n_pairs, count(DISTINCT (p[1], p[2])) FILTER (p[1] <> p[2]) AS n_changed
+  FROM (SELECT doc_id, item_id, form, unnest(list_filter(z, lambda p: p[3] IN ('0', '¤', '¦'))) AS p FROM hits) GROUP BY ALL
+), matched AS (
+  SELECT doc_id, item_id, form, count(DISTINCT k) AS n_matched FROM hits GROUP BY ALL
+), held AS (
+  SELECT doc_id, item_id, n_windows, n_matched, n_matched / n_windows AS containment, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed
+  FROM matched JOIN sizes USING (item_id, form) LEFT JOIN pairs USING (doc_id, item_id, form) WHERE n_matched >= 0.8 * n_windows AND coalesce(n_pairs, 0) = coalesce(n_slots, 0)
+)
+SELECT doc_id, item_id, n_windows, n_matched, containment, n_slots, n_changed FROM held
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_matched DESC, n_windows DESC, n_slots DESC, n_changed DESC) = 1
+"""
+
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_huffman_ids": op10_huffman_ids,
 }
-ORACLES = {"op4_exact_dedup": ORACLE_OP4}
+ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8}
