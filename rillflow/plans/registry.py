@@ -414,7 +414,7 @@ def incremental_since(spark, sf_dir):
     return _load(spark, sf_dir, 900)[0]
 
 
-@query("SELECT 'feed' AS source, CAST(max(event_id) AS VARCHAR) AS last_seen FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'other', '9'")
+@query("SELECT 'feed' AS source, CAST(greatest(1500, max(event_id)) AS VARCHAR) AS last_seen FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'other', '9'")
 def watermark_upsert(spark, sf_dir):
     return _load(spark, sf_dir)[1].select("source", "last_seen")
 
