@@ -90,9 +90,14 @@ def part_of(id_col: str, edges: list[int]) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, len(edges)))
 
 
+def spread(parts: int) -> int:
+    """Shuffle partitions for so many parts: enough that two parts rarely share one."""
+    return 3 * parts
+
+
 def parted(docs: DataFrame, id_col: str, text_col: str, edges: list[int]) -> DataFrame:
     """Columns part, id, text: one shuffle of the text to contiguous id ranges; equal plans reuse it."""
-    return docs.select(part_of(id_col, edges).alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(len(edges) + 1, "part")
+    return docs.select(part_of(id_col, edges).alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(spread(len(edges) + 1), "part")
 
 
 def concat_binary(column: pa.Array, dtype) -> np.ndarray:
