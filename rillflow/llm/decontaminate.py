@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.common import stored
+
 #: Items' windows are broadcast up to this many (about 40 bytes each).
 BROADCAST_WINDOWS = 200_000
 WORDS, SIMILARITY = 5, 0.8
@@ -26,13 +28,17 @@ UNITS = "kilograms?|kg|grams?|g|mg|pounds?|lbs?|oz|kilomet(?:er|re)s?|km|met(?:e
 NAME, UNIT = "¤", "¦"
 
 
-def slotted(text: Column, names: bool = True) -> Column:
-    """Lower-case words; a name (a capitalised word inside a sentence) and a unit after a number carry a mark before them."""
+def marked(text: Column, names: bool = True) -> Column:
+    """Lower-case text; a name (a capitalised word inside a sentence) and a unit after a number carry a mark before them."""
     text = F.coalesce(text, F.lit(""))
     if names:
         text = F.regexp_replace(text, "([a-z0-9,;] )([A-Z][a-z])", f"$1{NAME}$2")
-    text = F.regexp_replace(F.lower(text), rf"([0-9] ?)((?:{UNITS})(?:[^0-9a-z]|\z))", f"$1{UNIT}$2")
-    return F.regexp_extract_all(text, F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), F.lit(1))
+    return F.regexp_replace(F.lower(text), rf"([0-9] ?)((?:{UNITS})(?:[^0-9a-z]|\z))", f"$1{UNIT}$2")
+
+
+def slotted(text: Column, names: bool = True) -> Column:
+    """array<string>: the words of a marked text."""
+    return F.regexp_extract_all(marked(text, names), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), F.lit(1))
 
 
 def placeholder(word: Column) -> Column:
@@ -40,43 +46,71 @@ def placeholder(word: Column) -> Column:
 
 
 def windows(words: Column, length: int = WORDS) -> Column:
-    """array<struct<at, key, slots>> of a words column: the template's hash of each window, and the window's words where it has slots."""
+    """array<struct<at, key, slots>> of a words column: the template's hash of each window, and the window's words where it has slots.
+
+    For items and the few documents whose slots are compared; whole corpora go through `templates`.
+    """
     n = F.size(words)
 
     def one(i: Column) -> Column:
         template = [placeholder(F.get(words, i + k)) for k in range(length)]
         has_slot = F.exists(F.slice(words, i + 1, length), lambda w: w.rlike(f"^[0-9{NAME}{UNIT}]"))
-        return F.struct(i.alias("at"), F.xxhash64(*template).alias("key"), F.when(has_slot, F.slice(words, i + 1, length)).alias("slots"))
+        return F.struct(i.alias("at"), F.xxhash64(F.concat_ws(" ", *template)).alias("key"), F.when(has_slot, F.slice(words, i + 1, length)).alias("slots"))
 
     return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length), one))
 
 
+def templates(text: Column, length: int = WORDS) -> Column:
+    """array<string>: all windows of a text's template, as one regular expression finds them: each match looks ahead over a window
+    and moves on by one word."""
+    spaced = F.trim(F.regexp_replace(marked(text), r"[^0-9a-z\x{80}-\x{10FFFF}]+", " "))
+    typed = F.regexp_replace(F.regexp_replace(spaced, "(?<![^ ])[0-9][^ ]*", "0"), f"(?<![^ ])([{NAME}{UNIT}])[^ ]*", "$1")
+    spaced = F.when(spaced.rlike(f"[0-9{NAME}{UNIT}]"), typed).otherwise(spaced)
+    window = " ".join(["[^ ]++"] * length)
+    return F.regexp_extract_all(spaced, F.lit(f"(?=({window}))[^ ]++"), F.lit(1))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = WORDS, similarity: float = SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, n_windows, n_matched, containment, n_slots, n_changed."""
     forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), slotted(F.col(item_text_col), k == 0).alias("words")) for k in (0, 1)])).alias("f")
     items = benchmark.select(F.col(item_col).alias("item_id"), forms).select("item_id", "f.form", F.explode(windows(F.col("f.words"), length)).alias("w"))
-    items = items.select("item_id", "form", F.col("w.at").alias("item_at"), F.col("w.key").alias("key"), F.col("w.slots").alias("item_slots"))
+    items = items.select("item_id", "form", F.col("w.key").alias("key"), F.col("w.slots").alias("item_slots"))
+    known = items.agg(F.count("*").alias("n"), F.count("item_slots").alias("slots")).first()
     sizes = items.groupBy("item_id", "form").agg(F.countDistinct("key").alias("n_windows"))
-    if items.count() <= broadcast_windows:
-        items, sizes = F.broadcast(items), F.broadcast(sizes)
-    made = docs.select(F.col(id_col).alias("doc_id"), slotted(F.col(text_col)).alias("words"))
-    made = made.select("doc_id", F.explode(windows(F.col("words"), length)).alias("w")).select("doc_id", F.col("w.key").alias("key"), F.col("w.slots").alias("slots"))
-    hits = made.join(items, "key")
-    # Slot pairs (item's value, document's value) of a hit; a window without slots has none.
-    slot = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"].rlike(f"^[0-9{NAME}{UNIT}]"))
-    pairs = F.transform(slot, lambda p: F.struct(p["item_slots"].alias("of"), p["slots"].alias("to")))
-    hits = hits.select("doc_id", "item_id", "form", "key", F.coalesce(pairs, F.array().cast("array<struct<of:string,to:string>>")).alias("pairs"))
-    # The number of distinct windows and of distinct slot pairs of an item bound each group.
-    each = hits.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("key").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    each = each.withColumns({"n_slots": F.size(F.array_distinct(F.col("pairs.of"))), "n_changed": F.size(F.filter("pairs", lambda p: p["of"] != p["to"])), "n_pairs": F.size("pairs")})
-    held = each.join(sizes, ["item_id", "form"]).withColumn("containment", F.col("n_matched") / F.col("n_windows"))
-    held = held.filter((F.col("containment") >= similarity) & (F.col("n_pairs") == F.col("n_slots")))
+    small = F.broadcast if known["n"] <= broadcast_windows else (lambda df: df)
+    held = docs.select(F.col(id_col).alias("doc_id"), F.explode(templates(F.col(text_col), length)).alias("t")).select("doc_id", F.xxhash64("t").alias("key"))
+    held = held.join(small(items.select("item_id", "form", "key").distinct()), "key")
+    # An item's windows bound each group, and repeats go before the shuffle.
+    held = held.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("key").alias("n_matched")).join(small(sizes), ["item_id", "form"])
+    held = held.withColumn("containment", F.col("n_matched") / F.col("n_windows")).filter(F.col("containment") >= similarity)
+    if known["slots"]:
+        held = _consistent(stored(held), docs, items, small, id_col, text_col, length)
+    else:
+        held = held.withColumns({"n_slots": F.lit(0), "n_changed": F.lit(0)})
     best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_matched", "n_windows", "n_slots", "n_changed")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", "b.n_matched", "b.containment", "b.n_slots", "b.n_changed")
 
 
+def _consistent(held: DataFrame, docs: DataFrame, items: DataFrame, small, id_col: str, text_col: str, length: int) -> DataFrame:
+    """held's rows with n_slots and n_changed, without those where an item's value stands for several values of the document.
+
+    Only documents that hold an item with slots are looked at again.
+    """
+    slots = items.filter("item_slots is not null")
+    again = held.join(small(slots.select("item_id", "form").distinct()), ["item_id", "form"], "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    some = docs.join(again, docs[id_col].eqNullSafe(again["__id"]), "left_semi").select(F.col(id_col).alias("doc_id"), slotted(F.col(text_col)).alias("words"))
+    some = some.select("doc_id", F.explode(windows(F.col("words"), length)).alias("w")).select("doc_id", F.col("w.key").alias("key"), F.col("w.slots").alias("slots"))
+    # Slot pairs (item's value, document's value) of each window that both have.
+    slot = F.filter(F.arrays_zip("item_slots", "slots"), lambda p: p["item_slots"].rlike(f"^[0-9{NAME}{UNIT}]"))
+    pairs = some.filter("slots is not null").join(small(slots), "key").select("doc_id", "item_id", "form", F.explode(F.transform(slot, lambda p: F.struct(p["item_slots"].alias("of"), p["slots"].alias("to")))).alias("p"))
+    pairs = pairs.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("p.of").alias("n_slots"), F.countDistinct("p").alias("n_pairs"), F.countDistinct(F.when(F.col("p.of") != F.col("p.to"), F.col("p"))).alias("n_changed"))
+    pairs = pairs.withColumnRenamed("doc_id", "__doc")
+    both = held.join(pairs, held["doc_id"].eqNullSafe(pairs["__doc"]) & (held["item_id"] == pairs["item_id"]) & (held["form"] == pairs["form"]), "left")
+    both = both.select(held["*"], *[F.coalesce(pairs[c], F.lit(0)).alias(c) for c in ("n_slots", "n_pairs", "n_changed")])
+    return both.filter("n_pairs = n_slots").drop("n_pairs")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, in their own columns, without those that hold an item."""
     flagged = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
-    some = docs.join(flagged, docs[id_col] == flagged["__id"], "left_anti")
-    return some.join(F.broadcast(flagged.filter("__id is null").limit(1)), F.col(id_col).isNull() & F.col("__id").isNull(), "left_anti")
+    return docs.join(flagged, docs[id_col].eqNullSafe(flagged["__id"]), "left_anti")
