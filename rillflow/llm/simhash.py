@@ -8,7 +8,7 @@ fingerprints, so that posting lists stay short at any size.
 
 Defined cases: null and empty texts (and texts of white space only) have fingerprint 0 and are linked like any other;
 a text of fewer words than a shingle is one shingle; repeated rows and ties share a class; null ids
-get a class but never name one (unless there is no other id); an empty table gives an empty result; other columns are ignored.
+get a class but never name one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,11 +152,11 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The documents that stay, in their own columns: of each class the row with the smallest id (one, if ids repeat).
+    """The documents that stay, in their own columns: of each class those with its smallest id, exact repeats of a row's id and text once.
 
-    Rows that are alone in their class (told by their class) are not compared any further; rows with null ids stay
-    only where their class has no other id.
+    Rows that share an id stay or go together; rows with null ids stay, as no id tells them.
     """
     classes = simhash_classes(docs, id_col, text_col, words, bits).select("doc_id", "component_id")
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"])).select(docs["*"]).dropDuplicates([id_col])
+    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["__keep"]).select(docs["*"]).dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
