@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batch_of, part_edges, parted, stored, text_bytes
+from rillflow.llm.common import batch_of, no_cycles, part_edges, parted, stored, text_bytes
 
-SPAN, GRAM, PIECE_WINDOWS, HEAVY = 50, 24, 32, 64
+SPAN, GRAM, PIECE_WINDOWS, HEAVY, BATCH_WINDOWS = 50, 24, 32, 64, 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -201,16 +201,18 @@ def _shared_runs(docs: pa.Table, answers: pa.Table, buckets: int):
     return ids, raw, ends, f[order], c[order], b[order]
 
 
-def _distinct(ids: pa.ChunkedArray, raw: np.ndarray, ends: np.ndarray, first: np.ndarray, count: np.ndarray, bucket: np.ndarray):
-    """Each run's number among the batch's distinct pieces; the pieces in order of (bucket, first place) with their first document."""
-    whole, number, seen = raw.tobytes(), np.empty(len(first), np.int64), {}
-    for i, (b, f, c) in enumerate(zip(bucket.tolist(), first.tolist(), count.tolist())):
-        number[i] = seen.setdefault((b, whole[f : f + c + SPAN - 1]), len(seen))
+def _distinct(ids: pa.ChunkedArray, raw: np.ndarray, ends: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """The batch's distinct pieces in order of first place; each run's number among them, and each piece's first run and document."""
+    whole, number, seen = memoryview(raw).tobytes(), np.empty(len(first), np.int64), {}
+    find = seen.setdefault
+    with no_cycles():
+        for i, (f, to) in enumerate(zip(first.tolist(), (first + count + SPAN - 1).tolist())):
+            number[i] = find(whole[f:to], len(seen))
     named = ids.to_numpy()
     doc = np.searchsorted(ends, first, "right")
-    owner = np.zeros(len(seen), np.int64)
-    owner[number[::-1]] = named[doc[::-1]] if len(number) else 0
-    return list(seen), number, owner, named, doc
+    run = np.zeros(len(seen), np.int64)
+    run[number[::-1]] = np.arange(len(number))[::-1]
+    return list(seen), number, run, named[doc[run]] if len(run) else run, named, doc
 
 
 def _send(buckets: int):
@@ -221,36 +223,32 @@ def _send(buckets: int):
             return out.empty_table()
         part = docs.column("part")[0].as_py()
         ids, raw, ends, first, count, bucket = _shared_runs(docs, answers, buckets)
-        pieces, _, owner, _, _ = _distinct(ids, raw, ends, first, count, bucket)
-        by: dict[int, list[int]] = {}
-        for i, (b, _) in enumerate(pieces):
-            by.setdefault(b, []).append(i)
+        pieces, _, run_of, owner, _, _ = _distinct(ids, raw, ends, first, count)
+        to, windows = bucket[run_of], count[run_of].astype(np.uint8)
+        order = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]) if len(order) else order
         rows = []
-        for b, mine in by.items():
-            rows.append((b, part, b"".join(pieces[i][1] for i in mine), np.array([len(pieces[i][1]) - SPAN + 1 for i in mine], np.uint8).tobytes(), np.array(mine, "<u4").tobytes(), owner[mine].astype("<i8").tobytes()))
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            mine = order[i:j]
+            rows.append((int(to[mine[0]]), part, b"".join([pieces[k] for k in mine.tolist()]), windows[mine].tobytes(), mine.astype("<u4").tobytes(), owner[mine].astype("<i8").tobytes()))
         return pa.Table.from_batches([batch_of(out, *([list(c) for c in zip(*rows)] or [[]] * 6))], out)
 
     return run
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, same) of the suffixes at `starts`, compared over SPAN bytes: prefix doubling from 8 bytes on.
+    """(order, same) of the suffixes at `starts`, compared over SPAN bytes, eight at a time.
 
     same[i] tells that the i-th suffix in order equals the one before it. All of start .. start + SPAN must lie in text.
     """
     eight = np.ndarray((len(text) - 7,), ">u8", np.ascontiguousarray(text).data, strides=(1,))
-    rank = eight.astype(np.uint64)
-    _, rank = np.unique(rank, return_inverse=True)
-    depth = 8
-    while depth < SPAN:
-        step = min(depth, SPAN - depth)
-        n = len(rank) - step
-        pair = rank[:n].astype(np.uint64) * np.uint64(len(text) + 1) + rank[step : step + n].astype(np.uint64)
-        _, rank = np.unique(pair, return_inverse=True)
-        depth += step
-    order = np.argsort(rank[starts], kind="stable")
-    r = rank[starts][order]
-    return order, np.r_[False, r[1:] == r[:-1]]
+    columns = [eight[starts + k].astype(np.uint64) for k in (*range(0, SPAN - 8, 8), SPAN - 8)]
+    order = np.lexsort(columns[::-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for c in columns:
+        c = c[order]
+        same &= c[1:] == c[:-1]
+    return order, np.r_[False, same][: len(order)]
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,35 +279,61 @@ class Family:
             self.levels.append(keys)
 
 
+def _scan(family: Family, pending: list[tuple], found: dict[int, list[tuple[int, int]]]) -> None:
+    """One batch of new pieces: its suffix array, the merge-scan against the family's levels, and the new level."""
+    text = np.frombuffer(b"".join([p[2] for p in pending]), np.uint8)
+    windows = np.array([len(p[2]) - SPAN + 1 for p in pending], np.int64)
+    owner = np.array([p[3] for p in pending], np.int64)
+    begin = np.cumsum(windows + SPAN - 1) - (windows + SPAN - 1)
+    piece = np.repeat(np.arange(len(windows)), windows)
+    inner = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = begin[piece] + inner
+    order, same = suffix_array(text, starts)
+    head = np.flatnonzero(~same)
+    least = np.minimum.reduceat(owner[piece[order]], head)
+    size = np.diff(np.r_[head, len(order)])
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, SPAN)[starts[order[head]]]).view(f"S{SPAN}")[:, 0]
+    # An "S" string ends at its last byte that is not 0, so equal here means equal bytes: all have SPAN of them.
+    held = np.repeat(family.scan(keys), size) | (owner[piece[order]] > np.repeat(least, size))
+    family.add(keys)
+    hit = order[held]
+    mask = np.zeros(len(windows), np.uint64)
+    np.bitwise_or.at(mask, piece[hit], np.left_shift(np.uint64(1), inner[hit].astype(np.uint64)))
+    for i in np.flatnonzero(mask).tolist():
+        found.setdefault(pending[i][0], []).append((pending[i][1], int(mask[i])))
+
+
 def _scan_bucket(t: pa.Table) -> pa.Table:
-    """Per bucket: batches in order; which windows of each piece an earlier document has, as a mask for its first document."""
+    """Per bucket: batches in id order; which windows of each piece an earlier document has, as a mask for its first document.
+
+    A piece that an earlier batch sent in the same bytes is found as a whole. Small batches that follow each other share one
+    suffix array.
+    """
     out = pa.schema([("part", pa.int32()), ("number", pa.binary()), ("mask", pa.binary())])
     t = t.sort_by("part")
-    family, rows = Family(), []
-    for r in range(t.num_rows):
-        text = np.frombuffer(t.column("text")[r].as_py(), np.uint8)
-        windows = np.frombuffer(t.column("windows")[r].as_py(), np.uint8).astype(np.int64)
-        number = np.frombuffer(t.column("number")[r].as_py(), "<u4")
-        owner = np.frombuffer(t.column("owner")[r].as_py(), "<i8")
-        begin = np.cumsum(windows + SPAN - 1) - (windows + SPAN - 1)
-        piece = np.repeat(np.arange(len(windows)), windows)
-        inner = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = begin[piece] + inner
-        order, same = suffix_array(text, starts)
-        head = np.flatnonzero(~same)
-        least = np.minimum.reduceat(owner[piece[order]], head)
-        size = np.diff(np.r_[head, len(order)])
-        at = starts[order[head]]
-        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, SPAN)[at]).view(f"S{SPAN}")[:, 0]
-        # An "S" string ends at its last byte that is not 0, so equal here means equal bytes: all have SPAN of them.
-        held = np.repeat(family.scan(keys), size) | (owner[piece[order]] > np.repeat(least, size))
-        family.add(keys)
-        hit = order[held]
-        mask = np.zeros(len(windows), np.uint64)
-        np.bitwise_or.at(mask, piece[hit], np.left_shift(np.uint64(1), inner[hit].astype(np.uint64)))
-        found = np.flatnonzero(mask)
-        if len(found):
-            rows.append((int(t.column("part")[r].as_py()), number[found].tobytes(), mask[found].astype("<u4").tobytes()))
+    family, seen, pending, waiting = Family(), set(), [], 0
+    found: dict[int, list[tuple[int, int]]] = {}
+    with no_cycles():
+        for r in range(t.num_rows):
+            part, text = t.column("part")[r].as_py(), t.column("text")[r].as_py()
+            windows = np.frombuffer(t.column("windows")[r].as_py(), np.uint8).astype(np.int64)
+            number = np.frombuffer(t.column("number")[r].as_py(), "<u4").tolist()
+            owner = np.frombuffer(t.column("owner")[r].as_py(), "<i8").tolist()
+            ends = np.cumsum(windows + SPAN - 1)
+            for n, o, i, j in zip(number, owner, (ends - windows - SPAN + 1).tolist(), ends.tolist()):
+                piece = text[i:j]
+                if piece in seen:
+                    found.setdefault(part, []).append((n, (1 << (j - i - SPAN + 1)) - 1))
+                else:
+                    seen.add(piece)
+                    pending.append((part, n, piece, o))
+                    waiting += j - i - SPAN + 1
+            if waiting >= BATCH_WINDOWS:
+                _scan(family, pending, found)
+                pending, waiting = [], 0
+        if pending:
+            _scan(family, pending, found)
+    rows = [(part, np.array([n for n, _ in x], "<u4").tobytes(), np.array([m for _, m in x], "<u4").tobytes()) for part, x in found.items()]
     return pa.Table.from_batches([batch_of(out, *([list(c) for c in zip(*rows)] or [[]] * 3))], out)
 
 
@@ -330,18 +354,21 @@ def _remove(buckets: int, with_text: bool):
         cover = np.zeros(len(raw) + 1, np.int32)
         if docs.column("part")[0].as_py() >= 0 and answers.num_rows:
             ids, raw, ends, first, count, bucket = _shared_runs(docs, answers, buckets)
-            pieces, number, owner, named, doc = _distinct(ids, raw, ends, first, count, bucket)
+            pieces, number, _, owner, named, doc = _distinct(ids, raw, ends, first, count)
             mask = np.zeros(len(pieces), np.uint32)
+            del pieces
             for n, m in zip(masks.column("number").to_pylist(), masks.column("mask").to_pylist()):
                 mask[np.frombuffer(n, "<u4")] = np.frombuffer(m, "<u4")
             later = named[doc] > owner[number] if len(number) else np.empty(0, bool)
             all_of = np.where(count >= 32, np.uint32(0xFFFFFFFF), (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
             bits = np.where(later, all_of, mask[number]) if len(number) else np.empty(0, np.uint32)
             hit = np.flatnonzero(bits)
-            set_ = ((bits[hit, None] >> np.arange(PIECE_WINDOWS, dtype=np.uint32)) & 1).astype(bool)
-            start = (first[hit, None] + np.arange(PIECE_WINDOWS))[set_]
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + SPAN, -1)
+            for k in range(0, len(hit), 1 << 15):
+                some = hit[k : k + (1 << 15)]
+                set_ = ((bits[some, None] >> np.arange(PIECE_WINDOWS, dtype=np.uint32)) & 1).astype(bool)
+                start = (first[some, None] + np.arange(PIECE_WINDOWS))[set_]  # no window is in two runs
+                cover[start] += 1
+                cover[start + SPAN] -= 1
         gone = np.cumsum(cover[:-1]) > 0
         begins = gone & ~np.r_[False, gone[:-1]]
         begins[np.r_[0, ends[:-1]][np.r_[0, ends[:-1]] < len(gone)]] |= gone[np.r_[0, ends[:-1]][np.r_[0, ends[:-1]] < len(gone)]]
@@ -354,7 +381,7 @@ def _remove(buckets: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, bucket_hashes: int = 500_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20, bucket_hashes: int = 500_000, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     n_bytes = text_bytes(docs, text_col)
     edges = part_edges(docs, id_col, n_bytes, part_bytes)
