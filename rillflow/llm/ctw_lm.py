@@ -46,10 +46,13 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     runs = [b" ".join(t.lower().split()) + END for t in texts]
     raw = np.frombuffer((END * depth).join([b"", *runs]) + bytes(8), np.uint8) if runs else np.zeros(8, np.uint8)
     size = np.fromiter(map(len, runs), np.int64, len(runs))
-    first = np.cumsum(size + depth) - size - depth
-    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    v = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))[at] & np.uint64((1 << 8 * (depth + 1)) - 1)
-    return ((v & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (v >> np.uint64(8 * depth)), np.repeat(np.arange(len(runs)), size)
+    v = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))[: max(0, len(raw) - 8 - depth)] & np.uint64((1 << 8 * (depth + 1)) - 1)
+    pad = (np.cumsum(size + depth) - size - depth)[1:]  # where a later text's padding would be read as text
+    kept = np.ones(len(v), bool)
+    for k in range(depth):
+        kept[pad - k - 1] = False
+    v = v[kept]
+    return ((v & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (v >> np.uint64(8 * depth)), np.repeat(np.arange(len(runs), dtype=np.int32), size)
 
 
 def _bucket_of_grams(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -179,22 +182,35 @@ def _chunks(t: pa.Table):
         yield ids[at : at + len(rows)], rows
 
 
-def _distinct(t: pa.Table, depth: int):
-    """Sorted distinct keys and words of a batch, with their counts in its training rows; and the number of those rows."""
+def _distinct(t: pa.Table, depth: int, keep: list | None = None):
+    """Sorted distinct keys and words of a batch, with their counts in its training rows; and the number of those rows.
+
+    keep, if given, gets what scoring needs of each piece: ids, its distinct keys, how often each stands in sorted order and in which
+    text, and its words.
+    """
     keys, counts, words, docs = [], [], {}, 0
     for ids, rows in _chunks(t):
         teach = ~held_out(ids)
         docs += int(teach.sum())
         key, text = grams(as_bytes(rows), depth)
-        order = np.argsort(key)
-        key, n = key[order], teach[text[order]].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        keys.append(key[at])
-        counts.append(np.add.reduceat(n, at))
+        if keep is None:  # counts only: plain sorts
+            for taught, some in ((1, key[teach[text]]), (0, key[~teach[text]])):
+                some = np.sort(some)
+                at = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.empty(0, np.int64)
+                keys.append(some[at])
+                counts.append(np.diff(np.r_[at, len(some)]) * taught)
+        else:
+            order = np.argsort(key)
+            key = key[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            keys.append(key[at])
+            counts.append(np.zeros(len(at), np.int64))
         met, which, per_text = word_lists(rows, LOWER)
         n = np.bincount(which, np.repeat(teach, per_text), len(met)).astype(np.int64)
         for w, c in zip(met, n.tolist()):
             words[w] = words.get(w, 0) + c
+        if keep is not None:
+            keep.append((ids, key[at], np.diff(np.r_[at, len(key)]).astype(np.int32), text[order], met, which, per_text))
     key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     order = np.argsort(key)
     key = key[order]
@@ -311,7 +327,8 @@ def _score(depth: int, buckets: int, tokens: int, kinds: int, ends: int):
     def run(part, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out.empty_table()
-        key, _, words, _ = _distinct(docs, depth)
+        pieces: list = []
+        key, _, words, _ = _distinct(docs, depth, pieces)
         names = list(words)
         logs, seen = np.zeros(len(key)), np.zeros(len(names), np.int64)
         found = {(b, k): f for b, k, f in zip(replies.column("bucket").to_pylist(), replies.column("kind").to_pylist(), replies.column("found").to_pylist())}
@@ -322,11 +339,8 @@ def _score(depth: int, buckets: int, tokens: int, kinds: int, ends: int):
                 seen[at] = np.frombuffer(found[bucket, kind], "<i8")
         times = dict(zip(names, seen.tolist()))
         rows = []
-        for ids, texts in _chunks(docs):
-            here, text = grams(as_bytes(texts), depth)
-            only, at = np.unique(here, return_inverse=True)
-            score = np.bincount(text, logs[np.searchsorted(key, only)][at], len(ids))
-            met, which, per_text = word_lists(texts, LOWER)
+        for ids, only, often, text, met, which, per_text in pieces:
+            score = np.bincount(text, np.repeat(logs[np.searchsorted(key, only)], often), len(ids))
             c = np.fromiter((times[w] for w in met), np.int64, len(met))[which]
             owner = np.repeat(np.arange(len(ids)), per_text)
             known = np.bincount(owner, c > 0, len(ids)).astype(np.int64) + (ends > 0)
@@ -337,7 +351,7 @@ def _score(depth: int, buckets: int, tokens: int, kinds: int, ends: int):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, part_bytes: int = 24 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, part_bytes: int = 14 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     n_bytes = text_bytes(docs, text_col)
     buckets = min(65_536, max(1, math.ceil(n_bytes / bucket_bytes)))
