@@ -69,7 +69,19 @@ def _forest(fp: np.ndarray, block: np.ndarray, bits: int, need: int) -> tuple[np
     """A spanning forest of the links between fingerprints of equal block. fp, block: one entry per posting."""
     order = np.lexsort((fp, block))
     fp, block = fp[order], block[order]
-    nodes, at = np.unique(fp, return_inverse=True)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x = fp[i] ^ fp[j]
+        kept = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(1) >= need
+        kept[kept] = np.bitwise_count(x[kept]) <= bits
+        return kept
+
+    return spanning(fp, block, alike)
+
+
+def spanning(node: np.ndarray, block: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of equal block that alike(positions, positions) accepts. node, block: one entry per posting, in order of block."""
+    nodes, at = np.unique(node, return_inverse=True)
     label, parent = at.copy(), np.arange(len(nodes))
     out_a, out_b = [], []
     start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -82,11 +94,7 @@ def _forest(fp: np.ndarray, block: np.ndarray, bits: int, need: int) -> tuple[np
         i, j = live, live + lag
         unlike = label[i] != label[j]
         i, j = i[unlike], j[unlike]
-        x = fp[i] ^ fp[j]
-        tally = (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
-        kept = tally >= need
-        i, j, x = i[kept], j[kept], x[kept]
-        near = np.bitwise_count(x) <= bits
+        near = alike(i, j)
         i, j = i[near], j[near]
         joined = False
         for p, q in zip(at[i].tolist(), at[j].tolist()):
