@@ -12,7 +12,7 @@ windowed with and without name slots where these differ, and an item's first wor
 and meet the items' windows in a broadcast hash join while these are few (checked), else in a shuffled join; only hits are shuffled.
 
 Defined cases: null and empty texts match nothing; items of fewer words than a window match word for word; repeated items are
-reported each; rows of one doc_id are judged together, null ids as one document; repeated passages count once; empty tables give
+reported each; rows of one doc_id are judged together, null ids as one document, but by `clean_rows` each row by its own text; repeated passages count once; empty tables give
 an empty result; other columns are ignored.
 """
 
@@ -211,3 +211,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """docs, in their own columns, without those that hold an item."""
     flagged = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(flagged, docs[id_col].eqNullSafe(flagged["__id"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, in their own columns, without the rows that hold an item: each row is judged by its own text, whatever its id."""
+    row = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+    flagged = contaminated(docs.select(row.alias("__row"), F.col(text_col)), benchmark, "__row", text_col).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(flagged, row == flagged["__held"], "left_anti")

@@ -1,7 +1,7 @@
 import pytest
-from helpers import LONG, frame
+from helpers import LONG, frame, rows
 
-from rillflow.llm.decontaminate import contaminated
+from rillflow.llm.decontaminate import clean_rows, contaminated
 
 ADD = "add 3 and 5 and then add 4 and 6 and stop now please"
 CITY = "What is the capital city of France"
@@ -37,3 +37,19 @@ def test_each_occurrence_is_judged_by_itself(spark, items, broadcast):
     got = contaminated(frame(spark, [d[:2] for d in DOCS]), items, broadcast_windows=broadcast).select("doc_id", "item_id").collect()
     assert len(got) == len(set(got))
     assert {i: {r["item_id"] for r in got if r["doc_id"] == i} for i, *_ in DOCS} == {i: want for i, _, want in DOCS}
+
+
+def test_rows_are_judged_by_their_own_text(spark, items):
+    docs = [(None, f"x {CITY}"), (None, "clean"), (None, None), (7, ADD), (7, "clean as well"), (7, "the numbers"), (None, CITY[:15]), (None, CITY[8:])]
+    left = clean_rows(frame(spark, docs), items)
+    assert left.columns == frame(spark).columns
+    assert rows(left.select("doc_id", "text")) == sorted([d for d in docs if d[1] not in (f"x {CITY}", ADD)], key=str)
+    assert clean_rows(frame(spark, []), items).count() == 0
+
+
+def test_pipeline_stage_keeps_clean_rows(spark, items, tmp_path):
+    import corpus_pipeline as P
+
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = P.decontamination(spark, frame(spark, [(None, CITY), (None, "clean")]), str(tmp_path))
+    assert rows(left.select("text")) == [("clean",)]
