@@ -8,7 +8,7 @@ canonical, so the lengths are the whole code book. A block holds the ids of a ru
 
 A checkpoint gives the bit offset of every `spacing`-th id. Decoding looks up `max length` bits at a time in one table and
 follows all checkpoints of a block in step. Blocks are rows of a Parquet table in the shared folder (any file
-system that Spark writes), numbered in id order; the code book and counts are a table beside them.
+system that Spark writes), in id order over its files and numbered by it; the code book is a table beside them.
 
 Defined cases: null counts as empty, and an empty document still has its end id; null doc ids come first; rows with
 equal ids keep all their tokens, in any order among themselves; an empty table gives empty files; other columns are ignored.
@@ -16,9 +16,9 @@ equal ids keep all their tokens, in any order among themselves; an empty table g
 
 from __future__ import annotations
 
+import json
 import re
 import struct
-from array import array
 import uuid
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, batch_of, factorised, gathered, no_cycles, part_edges, part_of, shared_dir, slices_of, spread, text_bytes
+from rillflow.llm.common import LOWER, batch_of, factorised, gathered, no_cycles, shared_dir, slices_of
 
 MAGIC, HEAD = b"RHF1", struct.Struct("<4sIQIIB")
 
@@ -144,13 +144,35 @@ def decode_block(block: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tup
     return [None if z else int(d) for d, z in zip(named, nulls)], counts, out.reshape(-1)[:n]
 
 
-#: Letters, then punctuation, each of which the vocabulary's split pattern and lower-casing treat apart (no marks, apostrophes or special tokens).
+#: Punctuation that the vocabulary's split pattern and lower-casing treat apart from letters (no marks, apostrophes or special tokens).
 PUNCTUATION = "!-&(-/:;?@\\[-`{}~"
-SIMPLE = re.compile(f"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([{PUNCTUATION}]*)")
+#: Letters that stay one letter in lower case: A-Z, a-z and U+00C0 to U+024F without the two signs among them and without U+0130, which
+#: becomes i and a mark.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Pieces that the split pattern keeps whole, so that they end at the one id that ends a word.
+WHOLE = re.compile(f"[{LETTERS}]+|[{PUNCTUATION}]+|[0-9]")
 _SOLE = re.compile(f"[{PUNCTUATION}]")
 IS_MARK = np.array([b < 128 and bool(_SOLE.match(chr(b))) for b in range(256)])
 IS_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 IS_SPACE = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
+#: What a vocabulary file must do for pieces between white space to be encoded apart.
+NORMALISERS = ["NFC", ("Replace", "\\s+", " "), "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+#: The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 and up in order; spaces stay.
+SPELT = np.arange(256, dtype="<u2")
+_OTHERS = np.array([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)])
+SPELT[_OTHERS] = 256 + np.arange(len(_OTHERS))
+SPELT[32] = 32
+
+
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether a vocabulary file drops white space, lower-cases and marks the ends of words, so that `LibraryTokenizer` may divide texts."""
+    steps = [(n["type"], n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = next((p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), {})
+    model = spec["model"]
+    plain = all(t["special"] and "<|" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+    return steps == NORMALISERS and split.get("pattern", {}).get("Regex") == SPLIT and split.get("invert") is True and split.get("behavior") == "Removed" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout") and plain
 
 
 def detached(rows: pa.Array) -> pa.Array:
@@ -169,67 +191,101 @@ def detached(rows: pa.Array) -> pa.Array:
     before = np.r_[False, mark[:-1]] & ~edge[:-1]
     after = np.r_[mark[1:], False] & ~edge[1:]
     starts, stops = np.flatnonzero(mark & ~before), np.flatnonzero(mark & ~after) + 1
-    # The last letter is ASCII, or of two bytes (U+00C0 to U+024F but the two signs among them).
+    # The last letter is ASCII, or one of LETTERS of two bytes.
     last, lead = raw[np.maximum(starts - 1, 0)], raw[np.maximum(starts - 2, 0)]
-    two = (starts > 1) & (last >= 128) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC9) & (last > 0x8F))
+    signs = ((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) | ((lead == 0xC4) & (last == 0xB0)) | ((lead == 0xC9) & (last > 0x8F))
+    two = (starts > 1) & (last >= 128) & (lead >= 0xC3) & (lead <= 0xC9) & ~signs
     starts = starts[~edge[starts] & (IS_LETTER[last] | two) & (space[stops] | edge[stops])]
     offsets = (ends + np.searchsorted(starts, ends)).astype(np.int32)
     return pa.StringArray.from_buffers(len(rows), pa.py_buffer(offsets), pa.py_buffer(np.insert(raw, starts, 32)))
 
 
 class LibraryTokenizer:
-    """The tokenizers library, asked once for each word that a bounded cache does not hold.
+    """The tokenizers library, asked once for each piece between white space that a bounded cache does not hold.
 
-    The vocabulary drops white space, so pieces between white space are encoded apart; a piece of letters and closing
-    punctuation is cached as those two words.
+    The cache is one run of ids and, for each piece, its place there. Pieces that are one word go to the vocabulary's model side by side,
+    in long lines that are lower-cased and spelt in its byte alphabet already, and are told apart by the ids that end words; others are
+    encoded one by one. A vocabulary of other habits encodes whole texts.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            self.divides = splits_at_spaces(json.load(f))
         self.cache = cache
+        if self.divides:
+            self.ends_word = np.zeros(self.size, bool)
+            self.ends_word[[i for w, i in self.lib.get_vocab(with_added_tokens=False).items() if w.endswith(WORD_END)]] = True
+            self.words = Tokenizer(self.lib.model)
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.place: dict[str, int] = {}
+            self.pool, self.first, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _ids(self, texts: list[str], lib=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (lib or self.lib).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, pieces: list[str]) -> None:
+        """Forgets all but these pieces, which are held."""
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.pool, self.sizes = gathered(self.pool, self.first[at], self.sizes[at]), self.sizes[at]
+        self.place = dict(zip(pieces, range(len(pieces))))
 
     def _learn(self, missing: list[str]) -> None:
-        split = [(m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(p)) else (p, "") for p in missing]
-        need = {w for pair in split for w in pair}
-        new = [w for w in need if w not in self.words]
-        if len(self.words) + len(new) > self.cache:
-            self.words = {w: self.words[w] for w in need if w in self.words} | {"": b""}
-        for k in range(0, len(new), 4096):
-            got = self.lib.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)
-            self.words.update((w, array("H", e.ids).tobytes()) for w, e in zip(new[k : k + 4096], got))
-        get = self.words.__getitem__
-        self.pieces.update((p, get(a) + get(b)) for p, (a, b) in zip(missing, split))
-
-    def _held(self, met: list[str]) -> list[bytes]:
-        missing = [p for p in met if p not in self.pieces]
-        if len(self.pieces) + len(missing) > self.cache:  # what this run of texts uses stays
-            self.pieces = {p: self.pieces[p] for p in met if p in self.pieces}
+        whole = WHOLE.fullmatch
+        lines = [w for w in missing if whole(w)]
+        single = [w for w in missing if not whole(w)] if len(lines) < len(missing) else []
+        held, sizes = [self.pool], [self.sizes]
+        for k in range(0, len(lines), 4096):
+            line = SPELT[np.frombuffer(" ".join(lines[k : k + 4096]).lower().encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = self._ids([line], self.words)[0]
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(lines[k : k + 4096]) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary does not end each word at one id")
+            held.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        for k in range(0, len(single), 4096):
+            some = self._ids(single[k : k + 4096])
+            held += some
+            sizes.append(np.array([len(x) for x in some], np.int64))
+        self.place.update(zip(lines + single, range(len(self.place), len(self.place) + len(missing))))
+        self.pool, self.sizes = np.concatenate(held), np.concatenate(sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def _places(self, met: list[str]) -> np.ndarray:
+        """Number of each piece in the cache."""
+        missing = [p for p in met if p not in self.place]
         if missing:
+            if len(self.place) + len(missing) > self.cache:
+                self._keep([p for p in met if p in self.place])
             self._learn(missing)
-        return list(map(self.pieces.__getitem__, met))
+        return np.fromiter(map(self.place.__getitem__, met), np.int64, len(met))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
         out = []
         for _, rows in slices_of(texts):
+            if not self.divides:
+                out += self._ids(rows.to_pylist())
+                continue
             if not pc.any(pc.match_substring(rows, "<|")).as_py():
                 rows = detached(rows)
             met, which, per_text = factorised(pc.ascii_split_whitespace(rows))
+            empty = met.index("") if "" in met else -1  # from white space at an end
             with no_cycles():
-                held = self._held(met)
-            size = np.fromiter(map(len, held), np.int64, len(held)) // 2
-            pool, first = np.frombuffer(b"".join(held), "<u2"), np.cumsum(size) - size
+                at = self._places([w or "a" for w in met])
+            first, size = self.first[at], self.sizes[at]
+            if empty >= 0:
+                size[empty] = 0
             each = size[which]
-            ids = gathered(pool, first[which], each)
+            ids = gathered(self.pool, first[which], each)
             ends = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(per_text)]]
             out.extend(ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()))
         return out
@@ -240,70 +296,79 @@ def library(path: str) -> LibraryTokenizer:
     return LibraryTokenizer(path)
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, to: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 16, spacing: int = 256, part_bytes: int = 16 << 20, block_tokens: int = 1 << 20, vocabulary: int = 1 << 16) -> str:
+def write_ids(docs: DataFrame, path: str, end_id: int, to: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 16, spacing: int = 256, part_bytes: int = 16 << 20, block_tokens: int = 1 << 20) -> str:
     """Encodes every text, ends it with end_id, and writes blocks in ascending id order; returns the folder.
 
-    The texts are tokenised where they are read; only ids are shuffled, once, to contiguous id ranges. `vocabulary` bounds the ids and so
-    what is collected: one count for each id.
+    The texts are tokenised and counted where they are read; only ids are shuffled, once, to ranges of the id, and equal ids are
+    divided by their place in the files. A task packs its range in order, block by block. The counts, one for each id of the vocabulary,
+    are all that is collected.
     """
     spark = docs.sparkSession
     to = to or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    pieces = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
+    kind = np.dtype("<u2" if max(library(path).size, end_id + 1) <= 1 << 16 else "<u4")
+    pieces = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("tally", pa.binary())])
 
     def tokenise(batches):
-        lib, end = library(path), np.array([end_id], "<u2").tobytes()
+        """The ids of each text; and a row with the counts of each batch, as pairs (id, count)."""
+        lib, end = library(path), np.array([end_id], kind).tobytes()
         for b in batches:
-            yield batch_of(pieces, b.column(0).cast(pa.int64()), [x.tobytes() + end for x in lib.encode(b.column(1))])
-
-    edges = part_edges(docs, id_col, text_bytes(docs, text_col), part_bytes)
-    whole = docs.select(id_col, text_col).mapInArrow(tokenise, "id long, ids binary")
-    ids = whole.select(part_of("id", edges).alias("part"), "id", "ids")
-    runs = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary())])
-
-    def gather(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")  # a part holds either null ids only or none
-        named, held = t.column("id").to_pylist(), t.column("ids").to_pylist()
-        rows, at = [], 0
-        while at < len(named):
-            size, to_ = 0, at
-            while to_ < len(named) and (to_ == at or size + len(held[to_]) <= 2 * block_tokens):
-                size += len(held[to_])
-                to_ += 1
-            rows.append({"part": t.column("part")[0].as_py(), "block": len(rows), "docs": named[at:to_], "sizes": [len(x) // 2 for x in held[at:to_]], "ids": b"".join(held[at:to_])})
-            at = to_
-        return pa.Table.from_pylist(rows, runs)
-
-    blocks = ids.repartition(spread(len(edges) + 1), "part").groupBy("part").applyInArrow(gather, "part int, block int, docs array<bigint>, sizes array<int>, ids binary")
-    plain = f"{to}/plain"
-    blocks.write.option("compression", "zstd").parquet(plain)
-    blocks = spark.read.schema(blocks.schema).parquet(plain)
+            found = lib.encode(b.column(1))
+            n = np.bincount(np.concatenate(found), minlength=end_id + 1) if found else np.zeros(end_id + 1, np.int64)
+            n[end_id] += len(found)
+            used = np.flatnonzero(n)
+            yield batch_of(pieces, b.column(0).cast(pa.int64()), [x.astype(kind).tobytes() + end for x in found], [None] * len(found))
+            yield batch_of(pieces, [None], [None], [np.stack([used, n[used]], 1).astype("<i8").tobytes()])
 
-    tally = pa.schema([("id", pa.int32()), ("n", pa.int64())])
+    plain = f"{to}/plain"
+    whole = docs.select(id_col, text_col).mapInArrow(tokenise, "id long, ids binary, tally binary")
+    whole.write.option("compression", "zstd").parquet(plain)
+    plain = spark.read.schema(whole.schema).parquet(plain)
+    tally = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
-        total = np.zeros(vocabulary, np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=vocabulary)
+            pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            here = np.bincount(pairs[:, 0], pairs[:, 1]).astype(np.int64)
+            here[: len(total)] += total[: len(here)]
+            total = np.r_[here, total[len(here) :]]
         used = np.flatnonzero(total)
-        yield batch_of(tally, used.astype(np.int32), total[used])
+        yield batch_of(tally, used, total[used])
 
-    counted = blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(vocabulary, np.int64)
+    counted = plain.filter("tally is not null").select("tally").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max([r["id"] for r in counted], default=end_id) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, limit)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(lengths.tobytes(), int(end_id))], "lengths binary, end_id int").write.parquet(f"{to}/book")
     packed = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary())])
+    most = block_tokens * kind.itemsize
 
     def pack(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], "<u2")
-                yield batch_of(packed, [r["part"]], [r["block"]], [len(ids)], [encode_block(r["docs"], np.split(ids, np.cumsum(r["sizes"])[:-1]), lengths, codes, spacing)])
+        from pyspark import TaskContext
 
-    blocks.mapInArrow(pack, "part int, block int, tokens long, payload binary").write.option("compression", "none").parquet(f"{to}/blocks")
+        part, block, named, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def packed_block():
+            tokens = [np.frombuffer(x, kind) for x in held]
+            return batch_of(packed, [part], [block], [size // kind.itemsize], [encode_block(named, tokens, lengths, codes, spacing)])
+
+        for b in batches:
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and size + len(x) > most:
+                    yield packed_block()
+                    block, named, held, size = block + 1, [], [], 0
+                named.append(d)
+                held.append(x)
+                size += len(x)
+        if held:
+            yield packed_block()
+
+    parts = max(1, -(-int(counts.sum()) * kind.itemsize // part_bytes))
+    ids = plain.filter("ids is not null").select("id", "ids", F.col("_metadata.row_index").alias("row"))
+    ids = ids.repartitionByRange(parts, "id", "row").sortWithinPartitions("id", "row").select("id", "ids")
+    ids.mapInArrow(pack, "part int, block int, tokens long, payload binary").write.option("compression", "none").parquet(f"{to}/blocks")
     return to
 
 

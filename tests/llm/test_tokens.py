@@ -56,6 +56,22 @@ def test_cached_library_on_fixed_texts(words):
         assert ids.tolist() == words[1].encode(t, add_special_tokens=False).ids
 
 
+def test_cached_library_on_every_letter_and_mark(words):
+    letters = [chr(c) for c in (*range(0xA0, 0x250), *range(0x41, 0x5B), *range(0x61, 0x7B))]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [t for c in letters for m in marks for t in (f"{c}{m}", f"x{c}{m} y{m}{c} {c}", f"{c}{c}{m}{m}")]
+    for t, ids, want in zip(texts, words[0].encode(pa.array(texts)), words[1].encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids.tolist() == want.ids, t
+
+
+def test_other_vocabularies_encode_whole_texts(spark, lib):
+    path = vocabulary("byte_bpe_50k.json")
+    assert not H.LibraryTokenizer(path).divides
+    where = H.write_ids(frame(spark), path, end_id=70_000, part_bytes=20_000)
+    got = sorted(r["n_tokens"] for r in H.read_ids(spark, where).collect())
+    assert got == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
+
+
 def test_bpe_in_spark(spark):
     path = vocabulary("byte_bpe_50k.json")
     coded = bpe_encode(frame(spark), path)
@@ -107,5 +123,7 @@ def test_id_files(spark, words):
         want[i, start] = len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert got == want
+    parts = [r["part"] for r in spark.read.parquet(f"{where}/blocks").collect()]
+    assert len(set(parts)) > 1
     empty = H.write_ids(frame(spark, []), vocabulary("word_bpe_49k.json"), end_id=2)
     assert H.read_ids(spark, empty).count() == 0
