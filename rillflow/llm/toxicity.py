@@ -4,28 +4,31 @@ Every word gives its character n-grams, with marks at its ends; each n-gram has
 a document is the average of all its n-grams' embeddings, and a two-class linear softmax reads that average.
 Embeddings and softmax are learnt together, so misspellings and unseen inflections share what their n-grams have learnt.
 
-Training takes a bounded sample of labelled rows (`max_docs`, half of it kept for toxic ones; the sample is chosen by a
-hash of the id, and weights restore the classes' shares). Scoring is linear in the n-grams, so the model that tasks carry
-is one number for each table entry.
+Training takes a bounded sample of labelled rows: at most `max_docs` rows and `max_bytes` bytes of text, half of each kept for
+toxic ones, in the order of a hash of id and text; weights restore the classes' shares. The sample's n-grams are counted where the texts
+lie, so that the driver gets packed bags, four bytes an n-gram, and no texts. Scoring is linear in the n-grams, so the model that tasks
+carry is one number for each table entry.
 
 Defined cases: null and empty texts score like a text without n-grams (the prior); labels that are null, or rows whose label
-is missing, teach nothing; repeated ids are scored row by row; with no labels of both classes every score is the
-share of toxic labels (0 with none); an empty table gives an empty result; other columns are ignored.
+is missing, teach nothing; rows of equal id, text and label teach once; repeated ids are scored row by row; with no labels of both classes
+every score is the share of toxic labels (0 with none); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batch_of, slices_of, word_lists
+from rillflow.llm.common import as_text, batch_of, slices_of, stored, word_lists
 
-MAX_DOCS = 6000
+MAX_DOCS, MAX_BYTES = 6000, 32 << 20
 TABLE_BITS = 18
+COUNT_BITS = 32 - TABLE_BITS
 SIZES = (3, 4, 5, 6)
 
 
@@ -72,22 +75,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dims: int = 8, epochs: int = 8, rate: float = 0.3, scale: float = 60.0, decay: float = 0.001, shrink: float = 0.01, seed: int = 1) -> Model:
+def bag(text: str) -> bytes:
+    """The distinct n-grams of a text, each as table entry and count (at most 2^COUNT_BITS - 1) in 32 bits."""
+    met, which, _ = word_lists(pa.array([text], pa.string()))
+    entry, owner = ngrams(met) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
+    used, at = np.unique(entry, return_inverse=True)
+    n = np.bincount(at, np.bincount(which, minlength=len(met))[owner], len(used)).astype(np.int64)
+    return ((used << COUNT_BITS) | np.minimum(n, (1 << COUNT_BITS) - 1)).astype("<u4").tobytes()
+
+
+def train(bags: list[bytes], labels: np.ndarray, weights: np.ndarray, dims: int = 8, epochs: int = 8, rate: float = 0.3, scale: float = 60.0, decay: float = 0.001, shrink: float = 0.01, seed: int = 1) -> Model:
     """Stochastic gradient descent on embeddings and softmax together. N-grams of very few documents are left out; `shrink` keeps the rest small."""
     share = float((labels * weights).sum() / max(weights.sum(), 1e-9)) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
         bounded = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << TABLE_BITS), float(np.log(bounded / (1 - bounded))))
-    docs, seen = [], np.zeros(1 << TABLE_BITS, np.int64)
-    for t in texts:
-        met, which, _ = word_lists(pa.array([t], pa.string()))
-        entry, owner = ngrams(met) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
-        times = np.bincount(which, minlength=len(met))[owner]
-        used, at = np.unique(entry, return_inverse=True)
-        docs.append((used.astype(np.int32), (np.bincount(at, times, len(used)) / max(1, times.sum()) * scale).astype(np.float32)))
-        seen[used] += 1
+    docs, seen = [np.frombuffer(b, "<u4") for b in bags], np.zeros(1 << TABLE_BITS, np.int64)
+    for d in docs:
+        seen[d >> COUNT_BITS] += 1
     least_docs = max(3, min(20, len(docs) // 100))
-    docs = [(g[k], x[k]) for g, x in docs for k in [seen[g] >= least_docs]]
+    total = [max(1, int((d & ((1 << COUNT_BITS) - 1)).sum())) for d in docs]
+    docs = [d[seen[d >> COUNT_BITS] >= least_docs] for d in docs]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (1 << TABLE_BITS, dims)).astype(np.float32)
     emb[seen < least_docs] = 0
@@ -96,8 +104,10 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dims: int =
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(docs)):
-            g, x = docs[i]
-            mean = x @ emb[g]
+            g, x = docs[i] >> COUNT_BITS, (docs[i] & ((1 << COUNT_BITS) - 1)).astype(np.float32)
+            x *= scale / total[i]
+            held = emb[g]
+            mean = x @ held
             z = soft @ mean + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -106,29 +116,44 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dims: int =
             down = soft.T @ p
             d_soft = np.outer(p, mean)
             if len(g):
-                emb[g] = emb[g] * (1 - step * shrink) - (step * x)[:, None] * down[None, :]
+                held *= 1 - step * shrink
+                held -= np.outer(x, step * down)
+                emb[g] = held
             soft -= step * (d_soft + decay * soft)
             bias -= 0.1 * step * p
     return Model((emb @ (soft[1] - soft[0])).astype(np.float64) * scale, float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, max_docs: int = MAX_DOCS) -> Model:
-    """Learns from at most max_docs labelled rows that `usable` (over the label table) allows."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
+    """Learns from at most max_docs labelled rows and max_bytes bytes of text that `usable` (over the label table) allows; a text of more
+    than an eighth of max_bytes teaches nothing.
+
+    What reaches the driver: a hash, a label and a size for each row of the sample, then its bags.
+    """
     usable = F.lit(True) if usable is None else usable
-    known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    sizes = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for y, n in sorted(sizes.items()):
-        one = known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_docs // 2)
-        chosen = one if chosen is None else chosen.union(one)
-    if chosen is None:
+    known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = texts.filter(F.octet_length("__text") <= max_bytes // 8).join(known, "__id").withColumn("h", F.xxhash64("__id", "__text", "y"))
+    told = stored(rows.groupBy("h", "y").agg(F.max(F.octet_length("__text")).cast("long").alias("size")))
+    sizes = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    last = {}
+    for y in sorted(sizes):
+        first = told.filter(F.col("y") == y).orderBy("h").limit(max_docs // 2).select("h", "size").collect()
+        last[y] = first[int((np.cumsum([r["size"] for r in first]) <= max_bytes // 2).sum()) - 1]["h"]
+    if not last:
         return train([], np.empty(0, np.int64), np.empty(0))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").orderBy("__id", "__text").limit(2 * max_docs).collect()
-    y = np.array([r["__y"] for r in rows], np.int64)
-    taken = np.bincount(y, minlength=2)
-    w = np.array([sizes.get(k, 0) / max(1, taken[k]) for k in (0, 1)])
-    w = w[y] if len(y) else np.empty(0)
-    return train([r["__text"] for r in rows], y, w / w.mean() if len(w) else w)
+    chosen = reduce(Column.__or__, [(F.col("y") == y) & (F.col("h") <= F.lit(h)) for y, h in last.items()])
+    some = rows.filter(chosen).groupBy("h").agg(F.first("y").alias("y"), F.first("__text").alias("__text"))
+    out = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("bag", pa.binary())])
+
+    def bags(batches):
+        for b in batches:
+            yield batch_of(out, b.column(0), b.column(1), [bag(t) for t in as_text(b.column(2))])
+
+    got = some.mapInArrow(bags, "h long, y int, bag binary").toArrow().sort_by("h")
+    y = got.column("y").to_numpy().astype(np.int64)
+    w = np.array([sizes.get(k, 0) / max(1, n) for k, n in enumerate(np.bincount(y, minlength=2))])[y]
+    return train(got.column("bag").to_pylist(), y, w / w.mean())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,27 @@ def test_toxicity_without_labels(spark):
     assert min(s for _, s in rows(T.score(frame(spark), T.fit(frame(spark), ones)))) > 0.99
 
 
+def test_toxicity_sample_is_bounded(spark):
+    rows_ = [(7, LABELLED[0][1])] * 500 + [(i, t) for i, t, _ in LABELLED] + [(3, t) for _, t, _ in LABELLED[:50]] + [(9, "z " * 30_000)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in LABELLED], "doc_id long, toxic int")
+    seen = []
+
+    def spy(bags, y, w, **rest):
+        seen.append((len(bags), sum(map(len, bags)), np.bincount(y).tolist()))
+        return real(bags, y, w, **rest)
+
+    real, T.train = T.train, spy
+    try:
+        T.fit(frame(spark, rows_), labels, max_docs=60)
+        T.fit(frame(spark, rows_), labels, max_bytes=40_000)
+        T.fit(frame(spark, rows_), labels)
+    finally:
+        T.train = real
+    assert seen[0][0] == 60 and seen[0][2] == [30, 30]  # repeated rows and ids count once each
+    assert seen[1][0] <= 40_000 // 300 and min(seen[1][2]) > 20
+    assert seen[2][0] == len({(i, t) for i, t in rows_})
+
+
 def test_fold(spark):
     import zlib
 
