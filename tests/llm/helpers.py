@@ -141,3 +141,22 @@ def context_trees(docs, depth):
                 score += math.log10(q if s[p] >> (7 - k) & 1 else 1 - q)
         out.append((i, held(i), len(toks), sum(words[x] > 0 for x in toks), total, sum(math.log10((words[x] + 1) / (total + kinds + 1)) for x in toks), score))
     return sorted(out, key=str)
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def near_classes(docs):
+    """Brute force: the smallest id of each class of rows with Jaccard similarity 0.8 or more."""
+    sets, root = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {}
+    for (i, _), r in zip(docs, root):
+        least[r] = min(i, least.get(r, i))
+    return sorted(least.values())

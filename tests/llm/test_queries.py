@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from helpers import SPACE, exact, rows, simhash, suffixes
+from helpers import SPACE, exact, near_classes, rows, simhash, suffixes
 
 from rillflow.llm import queries as Q
 
@@ -68,7 +68,7 @@ def test_pipeline(spark, docs):
     for i in sorted(left[1]):
         first.setdefault(SPACE.sub(" ", text[i] or ""), i)
     assert left[2] == set(first.values())
-    assert left[3] == {c for _, _, c in simhash([(i, text[i]) for i in left[2]])}
+    assert left[3] == set(near_classes([(i, text[i]) for i in sorted(left[2])]))
     flagged = {r["doc_id"] for r in Q.op8_benchmark_decontamination(spark, SF).collect()}
     assert left[4] == left[3] - flagged
     out = {r["doc_id"]: r for r in P.run(spark, SF).collect()}
