@@ -73,7 +73,6 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     status, decision = tag(status_text, "status"), tag(status_text, "decision date")
     status = F.when(status.isin("Accepted", "Rejected") & decision.isNotNull(), F.concat(status, F.lit(" on "), decision)).otherwise(status)
     link = F.regexp_extract(F.get(td, F.lit(4)), r"(?is)href\s*=\s*[\"']([^\"']*)", 1)
-    host = F.regexp_extract("url", r"^([a-zA-Z]+://[^/]+)", 1)
     # The tags are the innermost div elements of the first detail row.
     raw = F.regexp_extract_all(F.coalesce("tags", F.lit("")), F.lit(r"(?is)<div\b[^>]*>([^<]*)</div>"), F.lit(1))
     tags = F.filter(F.transform(raw, decoded), lambda x: (x != "") & ~x.rlike(TAGS["status"]))
@@ -84,7 +83,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.concat(decoded(F.get(span, F.lit(0))), F.lit(", "), cell(0)).alias("program"),
         F.when(F.col("n_details") == 2, decoded(F.col("note"))).alias("comments"),
         cell(2).alias("date_added"),
-        absolute(link, host).alias("url"),
+        absolute(link, F.col("url")).alias("url"),
         status.alias("status"),
         F.get(tags, F.lit(0)).alias("term"),
         F.get(tags, F.lit(1)).alias("us_or_international"),
@@ -97,8 +96,37 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def absolute(link: Column, host: Column) -> Column:
-    return F.when(link.startswith("/"), F.concat(host, link)).otherwise(link)
+def raw_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The records that have details under the names of raw results, as `validate.converted` reads them, with page_id and pos."""
+    named = {"date_added": "date added", "us_or_international": "US/International", "gpa": "GPA", "gre": "GRE score", "gre_v": "GRE V score", "gre_aw": "GRE AW"}
+    found = records(pages, id_col, url_col, html_col).filter("n_details > 0").drop("n_details")
+    found = found.withColumn("date_added", F.concat(F.lit("Added on "), F.col("date_added")))
+    return found.withColumnsRenamed(named).withColumns({c: F.lit(None).cast("string") for c in ("llm-generated-program", "llm-generated-university")})
+
+
+def absolute(link: Column, url: Column) -> Column:
+    """A link's target as seen from a page: whole urls stay, others are resolved against the page's host, folder or path (RFC 3986)."""
+    host, scheme = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    page, path = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"^(.*/)", 1)).otherwise("/")
+    way, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    full = F.when(way.startswith("/"), way).otherwise(F.concat(folder, way))
+    return (
+        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (host == ""), link)
+        .when(link == "", url)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(url, r"^([^#]*)", 1), link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .otherwise(F.concat(host, F.when(full.contains("/."), without_dots(full)).otherwise(full), rest))
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with "/" without its "." and ".." segments."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")) - 1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(left, "/"), F.when((F.size(left) > 0) & path.rlike(r"/\.{1,2}$"), "/").otherwise(""))
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -106,7 +134,6 @@ def page_titles(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, link): targets of all links in order, relative ones resolved against the page's host."""
+    """(page_id, pos, link): targets of all links in order, relative ones resolved against the page."""
     found = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*?\shref=\"([^\"]*)\""), F.lit(1))).alias("pos", "link")
-    host = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1).alias("host")
-    return pages.select("page_id", host, found).select("page_id", "pos", absolute(F.col("link"), F.col("host")).alias("link"))
+    return pages.select("page_id", "url", found).select("page_id", "pos", absolute(F.col("link"), F.col("url")).alias("link"))

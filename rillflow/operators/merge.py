@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,11 +19,9 @@ def key_conflicts(old: DataFrame, new: DataFrame, key: str, unique: str, seq: st
     """Rows of `new` (one for each key) that may not be inserted: another key holds their unique value already, or an earlier new row
     takes it. Rows whose key exists never conflict: they update, and their unique value stays."""
     fresh = new.join(old.select(key), key, "left_anti")
-    taken = fresh.join(old.select(unique).filter(F.col(unique).isNotNull()).distinct(), unique, "left_semi")
-    free = fresh.join(old.select(unique), unique, "left_anti").filter(F.col(unique).isNotNull())
-    first = free.groupBy(unique).agg(F.min(seq).alias("__first"))
-    late = free.join(first, unique).filter(F.col(seq) > F.col("__first")).drop("__first")
-    return taken.select(*new.columns).unionByName(late.select(*new.columns))
+    held = old.select(unique).filter(F.col(unique).isNotNull()).distinct().withColumn("__taken", F.lit(True))
+    first = fresh.groupBy(unique).agg(F.min(seq).alias("__first")).join(held, unique, "left")
+    return fresh.join(first, unique).filter(F.col("__taken") | (F.col(seq) > F.col("__first"))).select(*new.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, fixed: tuple[str, ...] = ()) -> DataFrame:
@@ -41,8 +38,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fixed: tuple[str, ...] = ()
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     """Rows of `new` whose key is not stored; of equal keys the first in seq order. Null keys are left out."""
-    first = new.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(seq))).filter("__n = 1").drop("__n")
-    return first.filter(F.col(key).isNotNull()).join(old.select(key), key, "left_anti").select(*new.columns)
+    fresh = new.filter(F.col(key).isNotNull()).join(old.select(key), key, "left_anti")
+    return fresh.groupBy(key).agg(F.min_by(F.struct(*[c for c in new.columns if c != key]), seq).alias("__r")).select(*[F.col(c) if c == key else F.col(f"__r.{c}") for c in new.columns])
 
 
 def newest_by_key(key: str, *ranked: DataFrame) -> DataFrame:
@@ -63,3 +60,8 @@ def progress(df: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> Dat
     """One row: total, completed, remaining, failed."""
     marked = df.select(key).join(done.select(key).distinct().withColumn("__d", F.lit(True)), key, "left").join(failed.select(key).distinct().withColumn("__f", F.lit(True)), key, "left")
     return marked.agg(F.count("*").alias("total"), F.count_if("__d").alias("completed"), F.count_if(F.col("__d").isNull()).alias("remaining"), F.count_if(F.col("__f") & F.col("__d").isNull()).alias("failed"))
+
+
+def key_union(key: str, *batches: DataFrame) -> DataFrame:
+    """The distinct keys of all batches; null keys are left out."""
+    return reduce(DataFrame.union, [b.select(key) for b in batches]).filter(F.col(key).isNotNull()).distinct()

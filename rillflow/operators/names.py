@@ -45,6 +45,17 @@ def fixed(c: Column, fixes: dict[str, str]) -> Column:
     return out
 
 
+#: Letters from rare to common, as in English text; characters that are not listed are rarer.
+RARITY = "zqxjkvbpygfwmucldrhsnioate "
+
+
+def characters(c: Column) -> Column:
+    """array<struct<rank, again, char>>: each character of a text with the number of the same before it, rare ones first; all distinct."""
+    every = F.filter(F.split(c, ""), lambda x: x != "")
+    numbered = F.transform(every, lambda x, i: F.struct(F.instr(F.lit(RARITY), x).alias("rank"), (-F.size(F.filter(F.slice(every, F.lit(1), i), lambda y: y == x))).alias("again"), x.alias("char")))
+    return F.array_sort(numbered)
+
+
 def lookup_map(names: DataFrame, name: str = "name", line: str = "line") -> DataFrame:
     """(k, canonical): lower-case key of each name; of names with one key the last line wins."""
     return names.groupBy(F.lower(name).alias("k")).agg(F.max_by(name, line).alias("canonical"))
@@ -53,17 +64,25 @@ def lookup_map(names: DataFrame, name: str = "name", line: str = "line") -> Data
 def fuzzy_matches(names: DataFrame, canon: DataFrame, cutoff: float, scorer: str = "ratio") -> DataFrame:
     """(name, canonical, score): the best match of each distinct name with at least `cutoff`; ties go to the later in the alphabet.
 
-    names: column name; canon: columns k, canonical. Candidates meet by length: a name only joins those lengths at which
-    the cutoff can be reached, so this is an equi-join, not a product. `ratio` is twice the matching characters over both
-    lengths (in pandas, on pairs); `levenshtein` is 1 - distance / longer length (built in).
+    names: column name; canon: columns k, canonical. Both scores bound the characters that two names share, so a name and a candidate
+    meet by one of their rarest characters and by a length at which the cutoff can be reached; pairs that share too few
+    characters go before they are scored. `ratio` is twice the matching characters over both lengths (in pandas, on what is left);
+    `levenshtein` is 1 - distance / longer length (built in).
     """
     n = names.select("name", F.lower("name").alias("a")).filter(F.col("a") != "").distinct().withColumn("n", F.length("a"))
     if scorer == "ratio":
         low, high = F.ceil(F.col("n") * cutoff / (2 - cutoff) - 1e-9), F.floor(F.col("n") * (2 - cutoff) / cutoff + 1e-9)
+        least, shared = lambda size: F.ceil(size * cutoff / (2 - cutoff) - 1e-9), F.ceil((F.col("n") + F.col("m")) * cutoff / 2 - 1e-9)
     else:
         low, high = F.ceil(F.col("n") * cutoff - 1e-9), F.floor(F.col("n") / cutoff + 1e-9)
+        least, shared = lambda size: F.ceil(size * cutoff - 1e-9), F.ceil(F.greatest("n", "m") * cutoff - 1e-9)
+    n = n.withColumn("tokens", characters(F.col("a")))
+    n = n.select("*", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - least(F.col("n")) + 1).cast("int"))).alias("token"))
     n = n.withColumn("m", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    pairs = n.join(canon.select("k", "canonical", F.length("k").alias("m")), "m")
+    c = canon.filter(F.length("k") > 0).select("k", "canonical", F.length("k").alias("m"), characters(F.col("k")).alias("others"))
+    c = c.select("*", F.explode(F.slice("others", F.lit(1), (F.col("m") - least(F.col("m")) + 1).cast("int"))).alias("token"))
+    pairs = n.join(c, ["m", "token"]).filter(F.size(F.array_intersect("tokens", "others")) >= shared)
+    pairs = pairs.select("name", "a", "n", "m", "k", "canonical").distinct()
     if scorer == "ratio":
 
         @F.pandas_udf("double")
@@ -111,22 +130,22 @@ def parsed_output(text: Column, original: Column) -> tuple[Column, Column]:
     return F.when(ok, F.trim(F.coalesce(obj["program"], F.lit("")))).otherwise(program), F.when(ok, F.coalesce(null_if_empty(F.trim(F.coalesce(obj["university"], F.lit("")))), original)).otherwise(blank)
 
 
-def split_predictor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The default predictor: splits at commas, ' at ' and ' @ '."""
-    import re
+Predictor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
-    for b in batches:
-        parts = [[p.strip() for p in re.split(r",| at | @ ", re.sub(r"\s+", " ", x)) if p.strip()] + ["", ""] for x in b["name"]]
-        yield pd.DataFrame({"name": b["name"], "program": [p[0].title() for p in parts], "university": [re.sub(r"\bOf\b", "of", p[1].title()) for p in parts]})
 
+def enriched(df: DataFrame, column: str, predictor: Predictor | None = None, partitions: int | None = None) -> DataFrame:
+    """df plus llm_generated_program and llm_generated_university. A null name counts as empty.
 
-def enriched(df: DataFrame, column: str, predictor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = split_predictor, partitions: int | None = None) -> DataFrame:
-    """df plus the predictor's two columns; each distinct name is predicted once. A null name counts as empty."""
-    named = df.withColumn("__name", F.coalesce(F.col(column), F.lit("")))
-    names = named.select(F.col("__name").alias("name")).distinct()
+    Without a predictor the name is split (built in, no shuffle). A predictor maps frames (name) to frames (name, program, university);
+    each distinct name is predicted once, in `partitions` chunks if given.
+    """
+    named = F.coalesce(F.col(column), F.lit(""))
+    if predictor is None:
+        program, university = split_name(named)
+        return df.withColumns({"llm_generated_program": program, "llm_generated_university": university})
+    marked = df.withColumn("__name", named)
+    names = marked.select(F.col("__name").alias("name")).distinct()
     names = names.repartition(partitions) if partitions else names
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "program", "university")])
     got = names.mapInPandas(predictor, schema).select(F.col("name").alias("__name"), F.col("program").alias("llm_generated_program"), F.col("university").alias("llm_generated_university"))
-    return named.join(got, "__name").drop("__name")
-
-
+    return marked.join(got, "__name").drop("__name")

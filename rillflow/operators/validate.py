@@ -40,10 +40,18 @@ def converted(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     opt = lambda c: X.null_if_empty(F.col(f"`{c}`"))
     score = lambda c, kind: F.lit(None).cast("double") if rules.lenient else X.first_number(f"`{c}`", SCORE_RANGES[kind])
     kept = [c for c in raw.columns if c not in RESULTS.names and c not in rules.required and c not in ("comments", "GPA", "GRE score", "GRE V score", "GRE AW", "llm-generated-program", "llm-generated-university")]
-    p_id, date = X.id_after("url", rules.path), _date(rules)
-    gone = missing_fields(rules.required, not rules.lenient)
+    gone, origin = missing_fields(rules.required, not rules.lenient), F.col("`US/International`")
+    read = F.struct(
+        X.id_after("url", rules.path).alias("__id"),
+        _date(rules).alias("__date"),
+        gone.alias("__gone"),
+        (origin if rules.lenient else X.mapped(origin, ORIGINS, "Other")).alias("__origin"),
+        *[score(c, kind).alias(f"__{kind}") for c, kind in (("GPA", "gpa"), ("GRE score", "gre"), ("GRE V score", "gre_v"), ("GRE AW", "gre_aw"))],
+    )
+    # The generator keeps what is parsed below later filters, so that nothing is parsed twice.
+    raw = raw.select("*", F.inline(F.array(read)))
+    p_id, date, gone = F.col("__id"), F.col("__date"), F.col("__gone")
     bad = F.filter(F.array(F.when(~F.array_contains(gone, "date added") & date.isNull(), F.lit("date_added")), F.when(~F.array_contains(gone, "url") & p_id.isNull(), F.lit("p_id"))), lambda x: x.isNotNull())
-    origin = F.col("`US/International`")
     return raw.select(
         p_id.alias("p_id"),
         "program",
@@ -52,11 +60,8 @@ def converted(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "url",
         "status",
         "term",
-        (origin if rules.lenient else X.mapped(origin, ORIGINS, "Other")).alias("us_or_international"),
-        score("GPA", "gpa").alias("gpa"),
-        score("GRE score", "gre").alias("gre"),
-        score("GRE V score", "gre_v").alias("gre_v"),
-        score("GRE AW", "gre_aw").alias("gre_aw"),
+        F.col("__origin").alias("us_or_international"),
+        *[F.col(f"__{kind}").alias(kind) for kind in SCORE_RANGES],
         "degree",
         opt("llm-generated-program").alias("llm_generated_program"),
         opt("llm-generated-university").alias("llm_generated_university"),
@@ -85,7 +90,7 @@ def constraint_report(df: DataFrame, not_null: list[str], unique: list[str]) ->
 
 
 def load_summary(actions: DataFrame, rejected: DataFrame, most: int = 100) -> DataFrame:
-    """One row: inserted, updated, skipped and up to `most` of the skipped rows' ids, in order."""
+    """One row to print: inserted, updated, skipped and the first `most` of the skipped rows' ids; `rejects` has all of them."""
     counts = actions.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"))
     ids = rejected.orderBy("reject_id").limit(most).agg(F.array_join(F.array_sort(F.collect_list("reject_id")), ",").alias("skipped_ids"))
     return counts.crossJoin(rejected.agg(F.count("*").alias("skipped"))).crossJoin(ids)  # three rows of one
@@ -105,3 +110,8 @@ def out_of_range(df: DataFrame, ranges: dict[str, list[tuple[float, float]]] | N
 def repair_category(df: DataFrame, column: str, allowed: list[str], default: str = "Other") -> DataFrame:
     """Values outside the list become the default; nulls stay."""
     return df.withColumn(column, F.when(~F.col(column).isin(allowed), default).otherwise(F.col(column)))
+
+
+def out_of_list(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """One row: how many values repair_category changes."""
+    return df.agg(F.count_if(~F.col(column).isin(allowed)).alias("changed"))

@@ -153,12 +153,18 @@ def a2(df: DataFrame) -> DataFrame:
 
 def a3(df: DataFrame, school: str | None = None, since: int = SINCE, limit: int | None = None) -> DataFrame:
     """Accepted results of recent terms at schools whose name contains a text, newest first."""
+    return a3_ranked(df, school, since, limit).orderBy("nth").drop("nth")
+
+
+def a3_ranked(df: DataFrame, school: str | None = None, since: int = SINCE, limit: int | None = None) -> DataFrame:
+    """a3's rows with their place, nth. The window is over at most a hundred rows."""
     keep = _accepted() & (X.trailing_year("term") >= since) & X.contains_ci(X.last_segment("program"), search_text(school))
     found = df.filter(keep).orderBy(F.desc("date_added"), F.desc("p_id")).limit(row_limit(limit))
-    return found.select("program", "degree", "term", "status", "gpa")
+    nth = F.row_number().over(W.orderBy(F.desc("date_added"), F.desc("p_id"))).alias("nth")
+    return found.select("program", "degree", "term", "status", "gpa", nth)
 
 
-QUESTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"Q1": q1, "Q2": q2, "Q3": q3, "Q4": q4, "Q5": q5, "Q6": q6, "Q7": q7, "Q8": q8, "Q9": q9, "A1": a1, "A2": a2, "A3": a3}
+QUESTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"Q1": q1, "Q2": q2, "Q3": q3, "Q4": q4, "Q5": q5, "Q6": q6, "Q7": q7, "Q8": q8, "Q9": q9, "A1": a1, "A2": a2, "A3": a3_ranked}
 ORM_SUBSET = ["Q1", "Q2", "Q3", "Q4", "Q5", "Q6"]
 PAGE_SUBSET = [q for q in QUESTIONS if q != "A3"]
 NONE_FOUND = "No accepted results found."
@@ -186,7 +192,8 @@ def answer(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(F.coalesce(X.null_if_empty(F.array_join(listed["line"], ", ")), F.lit(NONE_FOUND)).alias("answer"))
     if name == "A3":
         line = F.concat_ws(" | ", "program", "degree", "term", "status", F.concat(F.lit("GPA: "), F.coalesce(c("gpa").cast("string"), F.lit("N/A"))))
-        return rows.agg(F.coalesce(X.null_if_empty(F.array_join(F.array_sort(F.collect_list(line)), "\n")), F.lit(NONE_FOUND)).alias("answer"))  # at most 100 rows
+        listed = F.array_sort(F.collect_list(F.struct("nth", line.alias("line"))))  # at most 100 rows
+        return rows.agg(F.coalesce(X.null_if_empty(F.array_join(listed["line"], "\n")), F.lit(NONE_FOUND)).alias("answer"))
     return rows.select(lines[name]().alias("answer"))
 
 
@@ -196,7 +203,7 @@ def report(df: DataFrame, names: list[str] | None = None, questions: dict[str, C
     for k, name in enumerate(names or list(questions)):
         try:
             rows = answer(name, questions[name](df)).select(F.lit(k).alias("nth"), F.lit(name).alias("question"), "answer", F.lit(None).cast("string").alias("error"))
-            if isolated and questions is not QUESTIONS:
+            if isolated:
                 rows = spark.createDataFrame(rows.collect(), rows.schema)  # one row; runs here so that its error stays here
         except Exception as e:  # noqa: BLE001
             if not isolated:

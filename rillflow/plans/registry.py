@@ -16,8 +16,10 @@ from rillflow.operators import names as M
 from rillflow.operators import validate as V
 from rillflow.operators import watermark as K
 from rillflow.plans import applicants as A
-from rillflow.schemas import MARKS
-from rillflow.sources.store import shared_folder
+from rillflow.plans.load import load_results
+from rillflow.schemas import MARKS, RAW
+from rillflow.sources import results as S
+from rillflow.sources.store import Shrinks, current, publish, shared_folder
 from rillflow.sources.tasks import message, message_stream, write_messages
 from rillflow.streaming import tasks as T
 
@@ -158,6 +160,154 @@ def report_all(spark, sf_dir):
     return A.report(A.applicants(spark, sf_dir), ["Q1", "Q5", "Q9", "A1", "A2"])
 
 
+def _text(sql: str) -> str:
+    return f"coalesce(CAST({sql} AS VARCHAR), 'N/A')"
+
+
+SHARE = lambda c: f"coalesce(concat(CAST({PCT(c=c)} AS VARCHAR), '%'), 'N/A')"
+OTHER_ANSWERS_SQL = f"""
+UNION ALL SELECT 'Q2', concat('Percent international: ', {SHARE("us_or_international ILIKE 'International'")}), NULL FROM applicants WHERE us_or_international <> ''
+UNION ALL SELECT 'Q3', concat('Average GPA: ', {_text(AVG2(c='gpa'))}, ', Average GRE: ', {_text(AVG2(c='gre'))}, ', Average GRE V: ', {_text(AVG2(c='gre_v'))}, ', Average GRE AW: ', {_text(AVG2(c='gre_aw'))}), NULL FROM applicants
+UNION ALL SELECT 'Q4', concat('Average GPA American: ', {_text(AVG2(c='gpa'))}), NULL FROM applicants WHERE term ILIKE 'Fall 2026' AND us_or_international ILIKE 'American'
+UNION ALL SELECT 'Q6', concat('Average GPA acceptance: ', {_text(AVG2(c='gpa'))}), NULL FROM applicants WHERE term ILIKE 'Fall 2026' AND status ILIKE 'Accepted%'
+UNION ALL SELECT 'Q7', concat('Count: ', count(*)), NULL FROM applicants WHERE degree ILIKE 'Masters' AND program ILIKE 'Computer Science, %' AND (program ILIKE '%, Johns Hopkins University%' OR program ILIKE '%, JHU%')
+UNION ALL SELECT 'Q8', concat('Count: ', count(*)), NULL FROM applicants WHERE {PHD_SQL} AND program ILIKE 'Computer Science, %' AND ({LISTED_SQL})"""
+A3_LINES_SQL = f"""
+UNION ALL SELECT 'A3', coalesce(string_agg(concat_ws(' | ', program, degree, term, status, concat('GPA: ', coalesce(CAST(gpa AS VARCHAR), 'N/A'))), chr(10) ORDER BY date_added DESC, p_id DESC), 'No accepted results found.'), NULL
+FROM ({A3_SQL.replace("program, degree, term, status, gpa FROM", "program, degree, term, status, gpa, date_added, p_id FROM")})"""
+
+
+@query(ANSWERS_SQL + OTHER_ANSWERS_SQL + A3_LINES_SQL, True)
+def report_twelve(spark, sf_dir):
+    """All twelve answers, each question isolated from the others' errors."""
+    return A.report(A.applicants(spark, sf_dir))
+
+
+@query(ANSWERS_SQL + OTHER_ANSWERS_SQL, True)
+def report_page(spark, sf_dir):
+    """The page's eleven questions, recomputed in one job: an error fails all of them."""
+    return A.report(A.applicants(spark, sf_dir), A.PAGE_SUBSET, isolated=False)
+
+
+@query(f"SELECT question, CASE question WHEN 'Q4' THEN NULL ELSE answer END AS answer, CASE question WHEN 'Q4' THEN 'failed' END AS error FROM ({ANSWERS_SQL + OTHER_ANSWERS_SQL}) WHERE question IN ('Q1', 'Q2', 'Q3', 'Q4', 'Q5', 'Q6')", True)
+def report_isolated(spark, sf_dir):
+    """Six questions, of which one fails when it runs: its row tells so, the others have their answers."""
+
+    def fails(df: DataFrame) -> DataFrame:
+        return df.agg(F.max(F.raise_error(F.lit("no such result"))).cast("decimal(20,2)").alias("avg_gpa_us_fall26"))
+
+    questions = {k: A.QUESTIONS[k] for k in A.ORM_SUBSET} | {"Q4": fails}
+    found = A.report(A.applicants(spark, sf_dir), A.ORM_SUBSET, questions)
+    return found.withColumn("error", F.when(F.col("error").isNotNull(), "failed"))
+
+
+# ---- sources and sinks ----------------------------------------------------------------------------------------------------
+
+RAW_SQL = "SELECT program, url, status, term, degree, comments FROM applicants"
+PER_FILE = 10_000
+
+
+def _as_raw(spark, sf_dir) -> DataFrame:
+    a = A.applicants(spark, sf_dir)
+    return a.select("p_id", F.to_json(F.struct("program", "url", "status", "term", "degree", "comments")).alias("row"))
+
+
+def _json_files(rows: DataFrame, path: str, wrapped: bool = False) -> None:
+    """Files of at most PER_FILE results, each one JSON array; if wrapped, every second one as an object with the key rows."""
+    listed = rows.groupBy(F.floor(F.col("p_id") / PER_FILE).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
+    if wrapped:
+        listed = listed.withColumn("value", F.when(F.col("part") % 2 == 0, F.concat(F.lit('{"rows": '), F.col("value"), F.lit("}"))).otherwise(F.col("value")))
+    listed.write.partitionBy("part").text(path)
+
+
+FIELDS = ["program", "url", "status", "term", "degree", "comments"]
+
+
+@query(RAW_SQL + " UNION ALL SELECT 'PATH_NOT_FOUND', NULL, NULL, NULL, NULL, NULL", True)
+def source_array(spark, sf_dir):
+    """JSON arrays written and read back; a missing file gives no rows and a reason, shown as the last row."""
+    where = shared_folder(spark)
+    _json_files(_as_raw(spark, sf_dir), f"{where}/in")
+    rows, error = S.load_array(spark, f"{where}/in/*/*")
+    none, reason = S.load_array(spark, f"{where}/none.json")
+    assert error is None
+    told = none.select(*FIELDS).unionByName(spark.createDataFrame([(reason, *[None] * 5)], ", ".join(f"{c} string" for c in FIELDS)))
+    return rows.select(*FIELDS).unionByName(told)
+
+
+@query(RAW_SQL, True)
+def source_rows(spark, sf_dir):
+    """Arrays, and objects that hold one under the key rows."""
+    where = shared_folder(spark)
+    _json_files(_as_raw(spark, sf_dir), f"{where}/in", wrapped=True)
+    return S.read_rows(spark, f"{where}/in/*/*").select(*FIELDS)
+
+
+def _json_lines(spark, sf_dir) -> str:
+    where = shared_folder(spark)
+    rows = _as_raw(spark, sf_dir)
+    rows.select(F.explode(F.when(F.col("p_id") % 7 == 0, F.array("row", F.lit(""))).otherwise(F.array("row"))).alias("value")).write.text(f"{where}/lines")
+    return where
+
+
+@query(RAW_SQL, True)
+def source_lines(spark, sf_dir):
+    """JSON Lines with blank lines among them."""
+    return S.read_lines(spark, f"{_json_lines(spark, sf_dir)}/lines").select(*FIELDS)
+
+
+@query(RAW_SQL, True)
+def source_convert(spark, sf_dir):
+    """JSON Lines converted to another format and read from it."""
+    where = _json_lines(spark, sf_dir)
+    S.convert(spark, f"{where}/lines", f"{where}/as-orc", to="orc")
+    return spark.read.schema(RAW).orc(f"{where}/as-orc").select(*FIELDS)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def store_append(spark, sf_dir):
+    """A store that grows by two appends."""
+    where, o = shared_folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    S.append(o.filter("o_orderkey % 2 = 0"), f"{where}/store")
+    S.append(o.filter("o_orderkey % 2 = 1"), f"{where}/store")
+    return spark.read.schema(o.schema).parquet(f"{where}/store")
+
+
+@query("SELECT DISTINCT url FROM (SELECT CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 11 = 0 THEN NULL ELSE 'u' || user_id END AS url FROM events) WHERE url <> ''")
+def known_urls(spark, sf_dir):
+    url = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 11 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return S.known_urls(table(spark, sf_dir, "events").select(url.alias("url")))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 10 = 3)")
+def point_lookup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return S.by_key(o, "o_orderkey", o.filter("o_orderkey % 10 = 3").agg(F.max("o_orderkey")).first()[0])
+
+
+@query("SELECT o_orderkey, o_custkey, 'refused' AS smaller FROM orders")
+def publish_guard(spark, sf_dir):
+    """Three publications: half the rows, all of them, and a third of them, which is refused."""
+    where, o = shared_folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    publish(o.filter("o_orderkey % 2 = 0"), where)
+    publish(o, where)
+    try:
+        publish(o.filter("o_orderkey % 3 = 0"), where)
+        smaller = "published"
+    except Shrinks:
+        smaller = "refused"
+    return current(spark, where).withColumn("smaller", F.lit(smaller))
+
+
+@query("SELECT p_name AS name, count(*) AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1")
+def reference_list(spark, sf_dir):
+    """A list written with padding and blank lines; a list that does not exist has no names."""
+    where, part = shared_folder(spark), table(spark, sf_dir, "part")
+    line = F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("  ")))
+    part.select(line.alias("value")).write.text(f"{where}/names")
+    return S.read_names(spark, f"{where}/names").select("name").unionByName(S.read_names(spark, f"{where}/none").select("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
 # ---- predicates and aggregates -------------------------------------------------------------------------------------------
 
 
@@ -336,6 +486,11 @@ def repair_category(spark, sf_dir):
     return V.repair_category(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["O", "F"])
 
 
+@query("SELECT count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS changed FROM orders")
+def repair_category_count(spark, sf_dir):
+    return V.out_of_list(table(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F"])
+
+
 # ---- merges -----------------------------------------------------------------------------------------------------------------
 
 OLD = "SELECT o_orderkey AS k, o_custkey AS v, o_orderpriority AS w FROM orders WHERE o_orderkey % 3 <> 0"
@@ -368,6 +523,46 @@ def load_summary(spark, sf_dir):
     return V.load_summary(_merged(spark, sf_dir), skipped)
 
 
+@query(f"SELECT k, v, w FROM ({MERGED})")
+def upsert_twice(spark, sf_dir):
+    """The same rows merged twice: the second time changes nothing."""
+    new = on(spark, sf_dir, NEW.replace("FROM orders", "FROM {orders}"), "orders")
+    return U.upsert(_merged(spark, sf_dir).drop("action"), new, "k", fixed=("v",)).drop("action")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def key_union(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return U.key_union("o_custkey", o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"))
+
+
+LOADED = """SELECT p_id, program, CASE WHEN p_id % 7 = 0 AND p_id % 2 = 0 THEN 'first' ELSE comments END AS comments, date_added, url, status, term, us_or_international,
+  coalesce(CASE WHEN p_id % 71 <> 0 AND p_id % 73 <> 0 THEN gpa END, CASE WHEN p_id % 2 = 0 THEN 1.5 END) AS gpa, gre, gre_v, gre_aw, degree, llm_generated_program, llm_generated_university
+FROM applicants WHERE NOT (p_id % 53 = 0 OR p_id % 59 = 0 OR p_id % 61 = 0 OR p_id % 67 = 0)"""
+
+
+def _two_loads(spark, sf_dir):
+    """Even results with a first comment and GPA, then all results: values that are missing the second time stay."""
+    where, raw = shared_folder(spark), raw_results(spark, sf_dir)
+    load_results(spark, raw.filter("k % 2 = 0").withColumns({"comments": F.lit("first"), "GPA": F.lit("GPA 1.50")}), where, "k")
+    return where, load_results(spark, raw, where, "k")
+
+
+@query(LOADED, True)
+def load_pipeline(spark, sf_dir):
+    where, _ = _two_loads(spark, sf_dir)
+    return current(spark, where)
+
+
+@query(
+    """SELECT count(*) FILTER (ok AND p_id % 2 <> 0) AS inserted, count(*) FILTER (ok AND p_id % 2 = 0) AS updated, count(*) FILTER (NOT ok) AS skipped
+FROM (SELECT p_id, NOT (p_id % 53 = 0 OR p_id % 59 = 0 OR p_id % 61 = 0 OR p_id % 67 = 0) AS ok FROM applicants)""",
+    True,
+)
+def load_pipeline_summary(spark, sf_dir):
+    return _two_loads(spark, sf_dir)[1].summary
+
+
 VALUES = "SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v, CASE WHEN event_id % 7 <> 0 THEN event_type END AS w FROM events"
 
 
@@ -515,6 +710,45 @@ def standardise_names(spark, sf_dir):
     return M.standardised(part, "raw", _canon(spark, sf_dir), "program").select("p_partkey", "raw", "standard")
 
 
+STANDARD_SQL = """WITH c AS (SELECT lower(name) AS k, arg_max(name, line) AS canonical FROM ({canon}) GROUP BY 1), n AS (SELECT DISTINCT raw, {rule} AS name FROM ({raw})),
+e AS (SELECT raw, name, canonical FROM n LEFT JOIN c ON lower(name) = k), s AS (
+  SELECT e.name, c.canonical AS near, c.k, 1 - levenshtein(lower(e.name), c.k) / greatest(length(e.name), length(c.k)) AS score FROM (SELECT DISTINCT name FROM e WHERE canonical IS NULL AND name <> '') e, c),
+b AS (SELECT name, near FROM s WHERE score >= {cutoff} QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, k DESC) = 1)
+SELECT p_partkey, r.raw, coalesce(canonical, near, e.name) AS standard FROM ({raw}) r JOIN e ON r.raw IS NOT DISTINCT FROM e.raw LEFT JOIN b ON e.name = b.name"""
+PROGRAMS = "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN ' Mathematic ' WHEN 1 THEN NULL WHEN 2 THEN concat(p_name, 's') WHEN 3 THEN 'Info Studies' ELSE p_name END AS raw FROM part"
+SCHOOLS = "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'u.b.c.' WHEN 1 THEN NULL WHEN 2 THEN concat(p_name, 'e') WHEN 3 THEN 'McGiill University' WHEN 4 THEN ' university Of life' WHEN 5 THEN 'Mcg' ELSE p_name END AS raw FROM part"
+PROGRAM_RULE = "nullif(trim(raw), '')"
+PROGRAM_RULE = f"CASE {PROGRAM_RULE} WHEN 'Mathematic' THEN 'Mathematics' WHEN 'Info Studies' THEN 'Information Studies' ELSE coalesce({TITLE(PROGRAM_RULE)}, '') END"
+SCHOOL_RULE = "nullif(trim(raw), '')"
+SCHOOL_RULE = f"CASE WHEN lower({SCHOOL_RULE}) = 'u.b.c.' THEN 'University of British Columbia' WHEN {SCHOOL_RULE} IN ('McGiill University', 'Mcg') THEN 'Mcgill University' ELSE regexp_replace(coalesce({TITLE(SCHOOL_RULE)}, ''), '\\bOf\\b', 'of', 'g') END"
+
+
+@query(STANDARD_SQL.format(canon=CANON, rule=PROGRAM_RULE, raw=PROGRAMS, cutoff=0.84))
+def standardise_programs(spark, sf_dir):
+    """The program pipeline with the built-in score."""
+    raw = on(spark, sf_dir, PROGRAMS.replace("FROM part", "FROM {part}"), "part")
+    return M.standardised(raw, "raw", _canon(spark, sf_dir), "program", "levenshtein").select("p_partkey", "raw", "standard")
+
+
+@query(STANDARD_SQL.format(canon=CANON, rule=SCHOOL_RULE, raw=SCHOOLS, cutoff=0.86))
+def standardise_universities(spark, sf_dir):
+    """The university pipeline with the built-in score: abbreviations, fixes, title case, exact and fuzzy look-ups."""
+    raw = on(spark, sf_dir, SCHOOLS.replace("FROM part", "FROM {part}"), "part")
+    return M.standardised(raw, "raw", _canon(spark, sf_dir), "university", "levenshtein").select("p_partkey", "raw", "standard")
+
+
+@query("SELECT p_name AS name, upper(p_name) AS llm_generated_program, CAST(length(p_name) AS VARCHAR) AS llm_generated_university, count(*) AS n FROM part GROUP BY p_name")
+def enrich_plugin(spark, sf_dir):
+    """A predictor of the caller's own, over distinct names in four chunks."""
+
+    def predictor(batches):
+        for b in batches:
+            yield b.assign(program=b["name"].str.upper(), university=b["name"].str.len().astype(str))
+
+    named = M.enriched(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), "name", predictor, partitions=4)
+    return named.groupBy("name", "llm_generated_program", "llm_generated_university").agg(F.count("*").alias("n"))
+
+
 @query(
     r"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Click' WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 4 = 2 THEN event_type ELSE 'Click' END AS program,
   CASE WHEN event_id % 4 = 0 THEN 'Some University' WHEN event_id % 4 = 1 THEN 'U ' || user_id WHEN event_id % 4 = 2 THEN 'click, some university' ELSE 'Some University' END AS university FROM events"""
@@ -561,6 +795,17 @@ def html_rows_grouped(spark, sf_dir):
     return H.records(result_pages(spark, sf_dir)).drop("pos", "gre_aw")
 
 
+@query(
+    """SELECT p_id, program, CASE WHEN p_id % 3 = 0 THEN concat('Tom & ', p_id) END AS comments, date_added, url, status, term, us_or_international, gpa, gre, gre_v, degree
+FROM applicants WHERE p_id % 17 <> 0 AND term IS NOT NULL""",
+    True,
+)
+def pages_to_results(spark, sf_dir):
+    """Result pages read, and their records checked and converted like raw results."""
+    checked = V.converted(H.raw_records(result_pages(spark, sf_dir)))
+    return V.valid_rows(checked).select("p_id", "program", "comments", "date_added", "url", "status", "term", "us_or_international", "gpa", "gre", "gre_v", "degree")
+
+
 DECODE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))".format
 
 
@@ -658,12 +903,60 @@ def task_quarantine(spark, sf_dir):
 FROM (SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS s FROM orders) GROUP BY o_custkey"""
 )
 def stream_upsert(spark, sf_dir):
-    """Three files, one a micro-batch, merged by key; equal to one batch over all rows in file order."""
+    """Three parts, each a micro-batch of one checkpoint, merged by key; equal to one batch over all rows in order."""
     where = shared_folder(spark)
     seq = F.col("o_orderkey") % 3 * 10_000_000_000 + F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_custkey", seq.alias("seq"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("s"))
     for n in range(3):
-        rows.filter(F.floor(F.col("seq") / 10_000_000_000) == n).coalesce(1).write.parquet(f"{where}/in/part={n}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/part=*")
-    T.run_upserts(stream.select(*rows.columns), f"{where}/table", "o_custkey", "seq", ("seq",), f"{where}/checkpoint")
+        rows.filter(F.floor(F.col("seq") / 10_000_000_000) == n).write.parquet(f"{where}/in/part={n}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in/part=*")
+        T.run_upserts(stream.select(*rows.columns), f"{where}/table", "o_custkey", "seq", ("seq",), f"{where}/checkpoint")
     return T.last_version(spark, f"{where}/table", 3).select("o_custkey", "s", F.col("seq").alias("first_seq"))
+
+
+@query("SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'malformed' WHEN event_type = 'purchase' THEN 'failed: ValueError' ELSE 'unknown kind' END AS reason, count(*) AS n FROM events WHERE event_type <> 'click' OR event_id % 11 = 0 OR event_id % 13 = 0 GROUP BY 1")
+def task_failures(spark, sf_dir):
+    """A handler that fails sends its tasks to quarantine, and the stream goes on with the next batch."""
+    where = shared_folder(spark)
+    _messages(spark, sf_dir, f"{where}/in")
+
+    def fails(df: DataFrame, number: int) -> None:
+        raise ValueError("no purchases today")
+
+    def counts(df: DataFrame, number: int) -> None:
+        df.select("kind").write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+
+    T.run_tasks(message_stream(spark, f"{where}/in", 2), {"click": counts, "purchase": fails}, f"{where}/quarantine", f"{where}/checkpoint")
+    return spark.read.schema("raw string, reason string").parquet(f"{where}/quarantine/*").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+FIRST_FEED, SECOND_FEED = "event_id < 2000 AND event_id % 2 = 0", "event_id BETWEEN 1500 AND 4000"
+
+
+@query(f"SELECT event_id, user_id FROM events WHERE ({FIRST_FEED}) OR ({SECOND_FEED} AND event_id > (SELECT max(event_id) FROM events WHERE {FIRST_FEED})) OR event_id > 1000")
+def stream_incremental(spark, sf_dir):
+    """Three messages, each asking for a load of its feed: two above the mark, the last one from an id that it names."""
+    where, events = shared_folder(spark), table(spark, sf_dir, "events").select("event_id", "user_id")
+    for n, rows in enumerate((events.filter(FIRST_FEED), events.filter(SECOND_FEED), events)):
+        rows.write.parquet(f"{where}/feed/{n}")
+        payload = F.create_map(F.lit("path"), F.lit(f"{where}/feed/{n}"), *([F.lit("since"), F.lit("1000")] if n == 2 else []))
+        one = spark.range(1).select(message(F.lit("scrape_new_data"), F.lit(f"2026-01-0{n + 1}T00:00:00"), payload).alias("value"))
+        write_messages(one, f"{where}/in")
+        T.run_loads(message_stream(spark, f"{where}/in", 10), spark.read.schema(events.schema).parquet, f"{where}/store", "feed", "event_id", "user_id", f"{where}/checkpoint")
+    return spark.read.schema(events.schema).parquet(f"{where}/store/rows/*")
+
+
+@query(ANSWERS_SQL, True)
+def stream_report(spark, sf_dir):
+    """Results that arrive in two parts: after each the report is made anew; this is the last one."""
+    where = shared_folder(spark)
+    rows = A.applicants(spark, sf_dir).withColumn("seq", F.col("p_id").cast("long"))
+
+    def report(df: DataFrame, number: int) -> None:
+        A.report(df, ["Q1", "Q5", "Q9", "A1", "A2"], isolated=False).write.mode("overwrite").parquet(f"{where}/reports/batch={number}")
+
+    for n in range(2):
+        rows.filter(F.col("p_id") % 2 == n).write.parquet(f"{where}/in/part={n}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in/part=*")
+        T.run_upserts(stream.select(*rows.columns), f"{where}/table", "url", "seq", ("p_id", "seq"), f"{where}/checkpoint", after=report)
+    return spark.read.schema("question string, answer string, error string").parquet(f"{where}/reports/batch=1")

@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.schemas import RAW
+from rillflow.sources.errors import FAILURES, MALFORMED, MISSING, conditions
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
-    """A file that is one JSON array of objects; a malformed file fails the read. Keys match by letter case."""
+    """Files that are one JSON array of objects each; a malformed file fails the read. Keys match by letter case."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def load_array(spark: SparkSession, path: str, schema: T.StructType = RAW) -> tuple[DataFrame, str | None]:
+    """(rows, None); or (no rows, reason) where a file is missing or malformed, so that nothing is loaded and the reason is reported."""
+    try:
+        df = read_array(spark, path, schema)
+        df.agg(F.max(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).collect()  # parses every file now
+        return df, None
+    except FAILURES as e:
+        found = conditions(e) & (MISSING | MALFORMED)
+        if not found:
+            raise
+        return spark.createDataFrame([], schema), min(found)
+
+
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
     """JSON Lines; blank lines are skipped, malformed lines fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -48,6 +62,17 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """(name, line): a reference list, one name a line, trimmed, empty lines dropped; line keeps the file's order."""
-    lines = spark.read.text(path).select(F.trim("value").alias("name"), F.monotonically_increasing_id().alias("line"))
-    return lines.filter("name <> ''")
+    """(name, line): a reference list, one name a line, trimmed, empty lines dropped; no rows where there is no file.
+
+    line is the order of the lines, files by name: each file is read whole, so lists stay small files.
+    """
+    try:
+        files = spark.read.text(path, wholetext=True)
+    except FAILURES as e:
+        if not conditions(e) & MISSING:
+            raise
+        return spark.createDataFrame([], "name string, line long")
+    order = F.array(*[F.lit(f) for f in sorted(files.inputFiles())])
+    number = F.array_position(order, F.input_file_name())
+    lines = files.select(number.alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "name"))
+    return lines.select(F.trim("name").alias("name"), (F.col("file") * F.lit(1 << 32) + F.col("pos")).alias("line")).filter("name <> ''")

@@ -1,6 +1,7 @@
 """Versioned tables: a new version is written beside the old one, then a pointer names it.
 
-A version that holds fewer rows than the current one is refused. Readers see the old or the new version, never a part.
+A version that holds fewer rows than the current one is refused. Readers see the old or the new version, never a part. A newest version
+that is missing or corrupt counts as none, and the next publication takes its place.
 """
 
 from __future__ import annotations
@@ -8,30 +9,64 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+
+from rillflow.sources.errors import CORRUPT, FAILURES, MISSING, conditions
+
+POINTER = "number long, version string"
 
 
 class Shrinks(ValueError):
     """The new version would hold fewer rows than the one it replaces."""
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, an error elsewhere."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    where = getattr(spark, "_rillflow_folder", None)
+    if where is None:
+        where = spark._rillflow_folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
+    return where
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(spark, "_rillflow_folder", None)
-        if where is None:
-            where = spark._rillflow_folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    return f"{where}/rillflow-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_root(spark)}/rillflow-{uuid.uuid4().hex}"
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The published version; None where there is none or it cannot be read."""
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read back."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _newest(spark: SparkSession, path: str) -> Row | None:
     try:
-        row = spark.read.parquet(f"{path}/pointer").orderBy("number", ascending=False).first()
-        return None if row is None else spark.read.parquet(f"{path}/{row['version']}")
-    except Exception:  # noqa: BLE001  unreadable old data counts as none
+        return spark.read.schema(POINTER).parquet(f"{path}/pointer").orderBy("number", ascending=False).first()
+    except FAILURES as e:
+        if conditions(e) & MISSING:
+            return None
+        raise
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version; None where there is none, or it is missing or corrupt."""
+    row = _newest(spark, path)
+    if row is None:
         return None
+    try:
+        df = spark.read.parquet(f"{path}/{row['version']}")  # reads a footer
+        df.count()  # reads all of them
+        return df
+    except FAILURES as e:
+        if conditions(e) & (MISSING | CORRUPT):
+            return None
+        raise
 
 
 def publish(df: DataFrame, path: str, guard: bool = True) -> int:
@@ -39,11 +74,12 @@ def publish(df: DataFrame, path: str, guard: bool = True) -> int:
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    rows = spark.read.parquet(f"{path}/{version}").count()
-    old = current(spark, path)
+    rows = spark.read.schema(df.schema).parquet(f"{path}/{version}").count()
+    old = current(spark, path) if guard else None
     held = 0 if old is None else old.count()
-    if guard and rows < held:
+    if rows < held:
         raise Shrinks(f"{rows} rows would replace {held}")
-    number = 0 if old is None else spark.read.parquet(f"{path}/pointer").count()
-    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    newest = _newest(spark, path)
+    number = 0 if newest is None else newest["number"] + 1
+    spark.createDataFrame([(number, version)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
     return rows

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators.merge import last_non_null, upsert
-from rillflow.schemas import TASK
+from rillflow.operators.watermark import incremental
+from rillflow.schemas import MARKS, TASK
+from rillflow.sources.errors import FAILURES, MISSING, conditions
 
 
 def decoded(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -32,7 +34,8 @@ def run_tasks(stream: DataFrame, kinds: dict[str, Callable[[DataFrame, int], Non
     """Hands each batch's tasks to their kind's handler; a handler that fails sends its tasks to quarantine and the stream goes on."""
 
     def batch(df: DataFrame, number: int) -> None:
-        tasks, bad = routed(decoded(df), list(kinds))
+        read = decoded(df).persist()  # each kind and the quarantine read it
+        tasks, bad = routed(read, list(kinds))
         rest = bad.select("raw", "reason")
         for kind, handle in kinds.items():
             mine = tasks.filter(F.col("kind") == kind)
@@ -43,21 +46,67 @@ def run_tasks(stream: DataFrame, kinds: dict[str, Callable[[DataFrame, int], Non
             except Exception as e:  # noqa: BLE001  the message is dropped to quarantine, not retried
                 rest = rest.unionByName(mine.select("raw", F.lit(f"failed: {type(e).__name__}").alias("reason")))
         rest.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        read.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_upserts(stream: DataFrame, table: str, key: str, seq: str, fixed: tuple[str, ...], checkpoint: str) -> None:
-    """Merges each batch into a versioned table: version n + 1 is version n and batch n, so a repeated batch changes nothing."""
+def run_upserts(stream: DataFrame, table: str, key: str, seq: str, fixed: tuple[str, ...], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Merges each batch into a versioned table: version n + 1 is version n and batch n, so a repeated batch changes nothing.
+
+    `after`, if given, gets each new version and the batch's number: here reports are made anew.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         new = last_non_null(df, key, seq)
         old = spark.read.schema(new.schema).parquet(f"{table}/v{number}") if number else spark.createDataFrame([], new.schema)
         upsert(old, new, key, fixed).drop("action").write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        if after is not None:
+            after(spark.read.schema(new.schema).parquet(f"{table}/v{number + 1}"), number)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def last_version(spark: SparkSession, table: str, batches: int) -> DataFrame:
     return spark.read.parquet(f"{table}/v{batches}")
+
+
+def run_loads(stream: DataFrame, read: Callable[[str], DataFrame], store: str, source: str, key: str, seq: str, checkpoint: str) -> None:
+    """Incremental loads asked for by messages: the payload names a path and may give `since`, else the source's mark counts.
+
+    A batch holds a few messages, which are handled in the order of their times: each adds rows under its own number, then the new state
+    table is written, so a message that is handled again writes the same.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        asked = decoded(df).filter("kind is not null").orderBy("ts", "raw").select("payload").collect()
+        state = f"{store}/marks"
+        for n, r in enumerate(asked):
+            step = number * MOST_MESSAGES + n
+            done = _steps(spark, state, step)
+            marks = spark.read.schema(MARKS).parquet(f"{state}/step={done[-1]}") if done else spark.createDataFrame([], MARKS)
+            rows = read(r["payload"]["path"])
+            held = spark.read.schema(rows.schema).parquet(*[f"{store}/rows/step={k}" for k in done]) if done else spark.createDataFrame([], rows.schema)
+            since = r["payload"].get("since")
+            fresh, marks = incremental(held, rows, marks, source, key, seq, None if since is None else int(since))
+            fresh.write.mode("overwrite").parquet(f"{store}/rows/step={step}")
+            marks.write.mode("overwrite").parquet(f"{state}/step={step}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Steps are numbered by batch and place in it.
+MOST_MESSAGES = 1_000_000
+
+
+def _steps(spark: SparkSession, state: str, before: int) -> list[int]:
+    """Numbers of the finished steps before one."""
+    try:
+        found = spark.read.schema(MARKS).parquet(state).select("step").distinct().collect()
+    except FAILURES as e:
+        if not conditions(e) & MISSING:
+            raise
+        return []
+    return sorted(r["step"] for r in found if r["step"] < before)
