@@ -1,168 +1,278 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one for each block of text); parts that are never main text (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, reader comments, hidden parts) leave no lines; the edges of articles, menus, headers, footers
-and asides leave a gap. Text lengths are summed over sliding windows of lines; text surges where a window rises from nothing
-and dives where windows fall back to it, and the text between the surge and the dive with the most text is kept.
+Markup is stripped to lines, one for each block of text. Parts that are never main text (menus, page headers and footers, sidebars,
+notices, adverts, forms, scripts, reader comments, hidden parts) leave none. Every line has a weight: its length, but nothing where most of it
+is links; headings and lines of an article or main element weigh SURGE at least. Weights are summed over sliding windows of lines: text
+surges where a window reaches SURGE (or half of the page's greatest window, if that is less) and dives where a whole window weighs nothing. Edges
+of articles, and of parts left out between different containers, are a window of empty lines, so text dives there.
+
+Of the runs between surges and dives the heaviest is kept, with the other runs of its containers, or of all articles if it is one, in page
+order. What is kept is kept whole, links and short lines in it too.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line. Defined cases: null or
 empty html, and pages without text, give an empty text; a page that is cut off ends where it ends (a tag cut in two
-goes); unclosed elements end with the page, or before an article where they would swallow it; repeated rows and null ids are
-extracted like any other; an empty table gives an empty result; other columns are ignored.
+goes); a quoted value that never closes, or closes only beyond the next tag, does not hold its tag open; unclosed elements that are left
+out end with the page, or before an article where they would swallow it; repeated rows and null ids are extracted like any other; an empty
+table gives an empty result; other columns are ignored. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rillflow.llm.common import as_text, batch_of
 
-WINDOW = 3
+WINDOW, SURGE = 3, 80
 #: Element names by role.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video")
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video"}
 NEVER = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "option", "datalist"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
-SPACES = {"br", "td", "th", "img", "input", "wbr"} - {"wbr"}
+SPACES = {"br", "td", "th", "img", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
+CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote"}
 EDGES = {"nav", "header", "footer", "aside"}  # these divide a page; other parts left out are holes in it
-#: Words in class, id or role names that tell parts which are not main text.
-ASIDE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|side|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|"
-    r"comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|footer|header|masthead|toolbar|widgets?|"
-    r"pagination|pager|search|complementary|contentinfo|skip)(?:$|[-_\s])",
-    re.I,
-)
-ASIDE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|reply|related|teaser|promo|ads?|advert\w*|sponsored)(?:$|[-_\s])", re.I)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)"
-    rf"|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[/a-zA-Z][^<>]*\Z",
-    re.S | re.I,
+#: Whole class, id and role names (with "-" for "_") of parts that are not main text, anywhere and outside articles.
+ANYWHERE = set("ad ads advert advertisement advertisements adsense adsbygoogle ad-banner ad-container ad-slot sponsored sponsored-content comments comment-list commentlist comments-area comment-section reader-comments respond disqus-thread".split())
+OUTSIDE = ANYWHERE | set(
+    "banner page-banner promo promotion popup modal overlay cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice alert alerts sidebar side-bar sidebar-left sidebar-right menu main-menu "
+    "nav navbar nav-bar navigation main-nav breadcrumb breadcrumbs comment reply replies discussion share sharing social social-links social-share related related-posts related-articles recommended recommendations newsletter subscribe subscription "
+    "signup login header site-header page-header masthead footer site-footer page-footer toolbar widget widgets pagination pager search search-form complementary contentinfo skip-link teaser teasers".split()
 )
-GAP = None  # between two blocks: the edge of a region
+NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+OPENS = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOPS = re.compile(r"""[>"']""")
+
+
+class Tag(NamedTuple):
+    """A piece of markup; name is "" for what only goes (comments, scripts and the like)."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+    alone: bool = False  # ends itself: <x/>
+
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    firm: bool  # a heading, or in an article or main element
+    main: bool
+    container: int
+
+
+class Gap(NamedTuple):
+    container: int | None  # None: always a gap; else a hole between lines of this container
+
+
+def _tag_end(page: str, at: int, absent: set[str]) -> int:
+    """Place after the tag's ">"; the page's end if there is none. absent: quotes that do not occur any more."""
+    while True:
+        m = STOPS.search(page, at)
+        if m is None:
+            return len(page)
+        if m[0] == ">":
+            return m.end()
+        at, before = m.end(), m.start() - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] != "=" or m[0] in absent:  # only after "=" a quote opens a value
+            continue
+        close = page.find(m[0], at)
+        if close < 0:
+            absent.add(m[0])
+            continue
+        after = page.find(">", at, close)
+        if after >= 0 and page.find("<", at, after) < 0 and page.find("<", after, close) >= 0:
+            return after + 1  # the value would hold this tag's end and the next tag's start
+        at = close + 1
 
-def _unwanted(name: str, attributes: str, inside: int) -> bool:
-    if name in NEVER:
+
+def tags_of(page: str) -> list[Tag]:
+    out, at, absent, unclosed = [], 0, set(), set()
+    while (at := page.find("<", at)) >= 0:
+        m = OPENS.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                to = page.find("-->", at + 4)
+                to = len(page) if to < 0 else to + 3
+            elif page.startswith("<![CDATA[", at):
+                to = at + 9
+            elif page[at + 1 : at + 2] in ("!", "?") and at + 1 < len(page):
+                to = page.find(">", at)
+                to = len(page) if to < 0 else to + 1
+            else:  # text
+                at += 1
+                continue
+            out.append(Tag(at, to))
+            at = to
+            continue
+        name, to = m[2].lower(), _tag_end(page, m.end(), absent)
+        attributes = page[m.end() : max(m.end(), to - 1)]
+        alone = attributes.rstrip().endswith("/")
+        if name in RAW and not m[1] and not alone:
+            found = None if name in unclosed else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, to)
+            if found is None:
+                unclosed.add(name)
+            to = len(page) if found is None else found.end()
+            out.append(Tag(at, to))
+        else:
+            out.append(Tag(at, to, name, bool(m[1]), attributes, alone))
+        at = to
+    return out
+
+
+def _unwanted(tag: Tag, inside: int) -> bool:
+    if tag.name in NEVER:
         return True
-    if name == "header":
+    if tag.name == "header":
         return not inside
-    if not attributes or name in ("html", "body", "main"):
+    if not tag.attributes or tag.name in ("html", "body", "main"):
         return False
-    if name == "article":
-        return any(ASIDE_ARTICLE.search(a or b or c) for a, b, c in NAMES.findall(attributes))
-    if HIDDEN.search(attributes):
+    if tag.name != "article" and HIDDEN.search(tag.attributes):
         return True
-    return any(ASIDE.search(a or b or c) for a, b, c in NAMES.findall(attributes))
+    named = {w for value in NAMES.findall(tag.attributes) for w in "".join(value).lower().replace("_", "-").split()}
+    if tag.name == "article":  # a reader's comment, or a teaser of another page
+        return bool(named & (ANYWHERE | {"comment", "reply", "related", "related-article", "teaser", "promo"}))
+    return bool(named & (ANYWHERE if inside else OUTSIDE))
+
+
+def _closings(tags: list[Tag]) -> list[int]:
+    """Number of each opening tag's closing one, -1 where there is none."""
+    out, open_ = [-1] * len(tags), {}
+    for i, t in enumerate(tags):
+        if t.closing:
+            if open_.get(t.name):
+                out[open_[t.name].pop()] = i
+        elif t.name and not t.alone and t.name not in VOID:
+            open_.setdefault(t.name, []).append(i)
+    return out
 
 
-def lines_of(page: str) -> list[str | None]:
-    """Blocks of text in page order, GAP where main text can begin or end."""
-    lines: list[str | None] = []
+def lines_of(page: str) -> list[Line | Gap]:
+    """Blocks of text in page order, with gaps where main text can begin or end."""
+    page = page.replace("]]>", "") if "<![CDATA[" in page else page
+    tags = tags_of(page)
+    closing, mains, resume = _closings(tags), [0], [len(tags)] * (len(tags) + 1)
+    for t in tags:
+        mains.append(mains[-1] + (t.name in MAIN and not t.closing))
+    for i in range(len(tags) - 1, -1, -1):
+        resume[i] = i if not tags[i].closing and (tags[i].name in MAIN or tags[i].name == "body") else resume[i + 1]
+    lines: list[Line | Gap] = []
     parts: list[str] = []
+    within, made, inside, links, linked, heading, at, i = [("", 0)], 0, 0, 0, 0, False, 0, 0
 
     def close() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                lines.append(text)
+                lines.append(Line(text, linked, heading or bool(inside), bool(inside), within[-1][1]))
             parts.clear()
+        linked = 0
 
-    tokens = list(TOKEN.finditer(page))
-    inside, skipping, depth, at, k, edge = 0, "", 0, 0, 0, False
-    resume = -1  # token at which a skipped element that never closes is given up
-    while k < len(tokens):
-        m = tokens[k]
-        if not skipping:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        k += 1
-        name = m[3]
-        if name is None:
-            continue
-        name, closing, attributes = name.lower(), bool(m[2]), m[4]
-        if skipping:
-            if name == skipping:
-                depth += -1 if closing else not attributes.rstrip().endswith("/")
-            if depth == 0:
-                skipping = ""
-                if edge:
-                    lines.append(GAP)
-            elif k == resume:
-                skipping = ""
-                at, k = m.start(), k - 1
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if links:
+            linked += len(text.strip())
+
+    while i < len(tags):
+        t = tags[i]
+        if t.start > at:
+            add(page[at : t.start])
+        at, i = t.end, i + 1
+        if not t.name:
             continue
-        if not closing and name not in VOID and _unwanted(name, attributes, inside):
-            if not attributes.rstrip().endswith("/"):
-                open_, end, resume, wraps = 1, k, -1, False
-                while end < len(tokens) and open_:
-                    other = tokens[end]
-                    if other[3] and other[3].lower() == name:
-                        open_ += -1 if other[2] else 1
-                    wraps |= bool(other[3]) and other[3].lower() in MAIN
-                    end += 1
-                if wraps and not open_ and name not in NEVER and name not in MAIN:  # holds the article itself
-                    close()
-                    continue
-                if open_:  # never closed: it must not swallow the article
-                    resume = next((i + 1 for i in range(k, len(tokens)) if tokens[i][3] and (tokens[i][3].lower() in MAIN or tokens[i][3].lower() == "body") and not tokens[i][2]), -1)
-                    if inside or name == "head" and resume < 0:
-                        resume = -1
-                if name in BLOCKS or name in NEVER:
-                    close()
-                edge = not inside and name in EDGES
-                if edge:
-                    close()
-                    lines.append(GAP)
-                skipping, depth = name, 1
+        if not t.closing and t.name not in VOID and _unwanted(t, inside):
+            if t.alone:
+                continue
+            end = closing[i - 1]
+            if end >= 0 and mains[end] > mains[i] and t.name not in NEVER and t.name not in MAIN:  # holds the article itself
+                close()
+                continue
+            if t.name in BLOCKS or t.name in NEVER:
+                close()
+            if t.name in EDGES and not inside:
+                lines.append(Gap(within[-1][1]))
+            i = end + 1 if end >= 0 else len(tags) if inside else resume[i]
+            at = tags[end].end if end >= 0 else tags[i].start if i < len(tags) else len(page)
             continue
-        if name in MAIN:
+        if t.name in BLOCKS:
             close()
-            before, inside = inside, max(0, inside + (-1 if closing else 1))
+            heading = t.name in HEADINGS and not t.closing
+        if t.name in MAIN:
+            before, inside = inside, max(0, inside + (-1 if t.closing else 1))
             if not before or not inside:
-                lines.append(GAP)
-        elif name in BLOCKS:
-            close()
-        elif name in SPACES:
+                lines.append(Gap(None))
+        if t.name in CONTAINERS:
+            if not t.closing:
+                made += 1
+                within.append((t.name, made))
+            elif any(n == t.name for n, _ in within):
+                while within.pop()[0] != t.name:
+                    pass
+        elif t.name == "a":
+            links = 0 if t.closing else 1
+        elif t.name in SPACES:
             parts.append(" ")
-    if not skipping:
-        parts.append(page[at:])
+    add(page[at:])
     close()
     return lines
 
 
-def line_blocks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges: from the first line of a window sum above zero to the last before windows fall back to zero."""
-    sums, total = [], 0
-    for i, n in enumerate(lengths):
-        total += n - (lengths[i - window] if i >= window else 0)
-        sums.append(total)
-    found, start = [], None
-    for i, s in enumerate(sums):
-        if s > 0 and start is None:
+def surges(weights: list[int], window: int, least: float) -> list[tuple[int, int]]:
+    """(surge, dive) ranges: from a line whose window reaches `least`, and which gives its share of that, up to a window that weighs nothing."""
+    sums, total, found, start = [0] * len(weights), 0, [], None
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        sums[i] = total
+    for i, w in enumerate(weights):
+        if start is None and w > 0 and w * window >= least and sums[i] >= least:
             start = i
-        elif s == 0 and start is not None:
-            found.append((start, i - window + 1))
+        elif start is not None and sums[i] == 0:
+            found.append((start, i))
             start = None
     if start is not None:
-        found.append((start, len(lengths)))
+        found.append((start, len(weights)))
     return found
 
 
-def main_text(page: str, window: int = WINDOW) -> str:
-    spread: list[str] = []
-    for line in lines_of(page):
-        spread.extend([""] * window if line is GAP else [line])
-    best = max(line_blocks([len(x) for x in spread], window), key=lambda r: sum(map(len, spread[r[0] : r[1]])), default=(0, 0))
-    return "\n\n".join(x for x in spread[best[0] : best[1]] if x)
+def weight(line: Line, surge: int = SURGE) -> int:
+    own = len(line.text) if line.main or 2 * line.linked <= len(line.text) else 0
+    return max(own, surge) if line.firm else own
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    held, spread = lines_of(page), []
+    after: list[int | None] = [None] * len(held)  # container of the next line
+    for k in range(len(held) - 1, 0, -1):
+        after[k - 1] = held[k].container if isinstance(held[k], Line) else after[k]
+    before = None
+    for k, x in enumerate(held):
+        if isinstance(x, Line):
+            spread.append(x)
+            before = x.container
+        elif x.container is None or not before == after[k] == x.container:
+            spread.extend([None] * window)
+    weights = [0 if x is None else weight(x, surge) for x in spread]
+    greatest = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
+    runs = [[x for x in spread[a:b] if x is not None] for a, b in surges(weights, window, min(surge, greatest / 2))]
+    if not runs:
+        return ""
+    best = max(runs, key=lambda r: sum(weight(x, 0) for x in r))
+    homes, main = {x.container for x in best}, any(x.main for x in best)
+    kept = [r for r in runs if r is best or (any(x.main for x in r) if main else any(x.container in homes for x in r))]
+    return "\n\n".join(x.text for r in kept for x in r)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

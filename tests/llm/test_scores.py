@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rillflow.llm import ctw_lm as L
 from rillflow.llm import license_scan as S
 from rillflow.llm import toxicity as T
-from rillflow.llm.html_extract import extract, line_blocks, main_text
+from rillflow.llm.html_extract import extract, main_text
 
 RNG = np.random.default_rng(5)
 VOCAB = ["".join(RNG.choice(list("abcdefgh"), 5)) for _ in range(300)]
@@ -146,11 +146,6 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
-def test_line_blocks():
-    assert line_blocks([0, 0, 5, 0, 7, 0, 0, 0, 9]) == [(2, 5), (8, 9)]
-    assert line_blocks([]) == []
-
-
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", ARTICLE, "x"), (2, "u", None, "x"), (2, "u", None, "x"), (None, None, "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = rows(extract(df).select("page_id", "n_chars"))
