@@ -1,7 +1,7 @@
 """Helpers shared by the corpus operators.
 
 Exchanges of packed arrays: several operators move values that exist once for nearly every byte or word of
-the corpus. Such values travel as binary arrays in rows ``(bucket, part, ...)``: a *part* is a bounded run of
+the corpus. Such values travel as binary arrays in rows ``(bucket, part, ...)``: a *part* is a bounded set of
 documents, a *bucket* is a hash range of the values. Both counts follow the input, so no task's input grows
 with the corpus.
 """
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -21,19 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.sources.store import shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = getattr(spark, "_rillflow_shared", None)
-        if where is None:
-            where = spark._rillflow_shared = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    return where
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a temporary one on a local master, an error elsewhere."""
+    return shared_root(spark)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -62,42 +58,51 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def part_edges(docs: DataFrame, id_col: str, n_bytes: int, part_bytes: int) -> list[int]:
-    """Upper edges of contiguous id ranges that hold about part_bytes of text each (approximate quantiles of the ids)."""
+    """Upper edges of contiguous id ranges that hold about part_bytes of text each (approximate quantiles of the ids, as in a range
+    partitioner: one number a part). The edge of an id that fills several parts comes several times."""
     n = max(1, math.ceil(n_bytes / part_bytes))
     if n == 1:
         return []
     found = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 50 * n))).first()[0]
-    return sorted(set(found or []))
+    return sorted(found or [])
 
 
-def part_of(id_col: str, edges: list[int]) -> Column:
-    """Number of the range that an id falls into: log2 comparisons a row. Null ids are part -1."""
+def part_of(id_col: str, text_col: str, edges: list[int]) -> Column:
+    """Number of the range that an id falls into: log2 comparisons a row. An id that fills several parts is dealt to them by a hash
+    of the text, and so are null ids, to as many parts more."""
+    met = sorted(set(edges))
+    first = [edges.index(e) for e in met] + [len(edges)]
+    times = [edges.count(e) for e in met]
+    salt = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            if lo < len(met) and times[lo] > 1:
+                return F.when(F.col(id_col) == F.lit(met[lo]), F.lit(first[lo]) + F.pmod(salt, F.lit(times[lo]))).otherwise(F.lit(first[lo]))
+            return F.lit(first[lo])
         mid = (lo + hi) // 2
-        return F.when(F.col(id_col) <= F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(F.col(id_col) <= F.lit(met[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    if len(edges) > 512:  # too many for one expression
-        upper = np.array(edges)
+    n = len(edges) + 1
+    if len(met) > 512:  # too many for one expression
+        upper, lows, many = np.array(met), np.array(first), np.array([*times, 1])
 
         @F.pandas_udf("int")
-        def found(x: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(upper, x.fillna(0).to_numpy()).astype(np.int32))
-
-        return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(found(F.col(id_col)))
-    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, len(edges)))
-
+        def found(x: pd.Series, s: pd.Series) -> pd.Series:
+            ids = x.fillna(0).to_numpy()
+            at = np.searchsorted(upper, ids)
+            hot = (at < len(upper)) & (upper[np.minimum(at, len(upper) - 1)] == ids)
+            return pd.Series((lows[at] + np.where(hot, s.to_numpy() % many[at], 0)).astype(np.int32))
 
-def spread(parts: int) -> int:
-    """Shuffle partitions for so many parts: enough that two parts rarely share one."""
-    return 3 * parts
+        held = found(F.col(id_col).cast("long"), salt)
+    else:
+        held = tree(0, len(met))
+    return F.when(F.col(id_col).isNull(), F.lit(n) + F.pmod(salt, F.lit(n))).otherwise(held).cast("int")
 
 
-def parted(docs: DataFrame, id_col: str, text_col: str, edges: list[int]) -> DataFrame:
-    """Columns part, id, text: one shuffle of the text to contiguous id ranges; equal plans reuse it."""
-    return docs.select(part_of(id_col, edges).alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(spread(len(edges) + 1), "part")
+def parted(docs: DataFrame, id_col: str, text_col: str, part: Column, parts: int) -> DataFrame:
+    """Columns part (below `parts`), id, text, each part in a partition of its own: one shuffle of the text; equal plans reuse it."""
+    return docs.select(part.alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionById(parts, "part")
 
 
 def concat_binary(column: pa.Array, dtype) -> np.ndarray:

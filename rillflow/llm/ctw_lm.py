@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, as_bytes, batch_of, part_edges, parted, slices_of, stored, text_bytes, word_lists
+from rillflow.llm.common import LOWER, as_bytes, batch_of, parted, slices_of, stored, text_bytes, word_lists
 
 DEPTH = 5
 END = b"\xff"  # never part of UTF-8
@@ -355,7 +355,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     n_bytes = text_bytes(docs, text_col)
     buckets = min(65_536, max(1, math.ceil(n_bytes / bucket_bytes)))
-    base = parted(docs, id_col, text_col, part_edges(docs, id_col, n_bytes, part_bytes))
+    parts = max(1, math.ceil(n_bytes / part_bytes))
+    # Order is free here, so that neither null nor repeated ids fill a part.
+    base = parted(docs, id_col, text_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int"), parts)
     told = stored(base.groupBy("part").applyInArrow(_tell(depth, buckets), TOLD))
     above = told.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_above(depth), "context int, node int, n0 long, n1 long, pw double")
     n, pw, tokens, kinds, ends = np.zeros((256, 256, 2), np.int64), np.zeros((256, 256)), 0, 0, 0
@@ -367,4 +369,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         else:
             ends = r[2]
     replies = told.filter("kind < 2").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_reply(depth, Top(n, pw)), "part int, bucket int, kind int, found binary")
-    return base.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_score(depth, buckets, int(tokens), int(kinds), int(ends)), RESULT)
+    return base.groupBy("part").cogroup(replies.repartitionById(parts, "part").groupBy("part")).applyInArrow(_score(depth, buckets, int(tokens), int(kinds), int(ends)), RESULT)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batch_of, no_cycles, part_edges, parted, stored, text_bytes
+from rillflow.llm.common import batch_of, no_cycles, part_edges, part_of, parted, stored, text_bytes
 
 SPAN, GRAM, PIECE_WINDOWS, HEAVY, BATCH_WINDOWS = 50, 24, 32, 64, 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -113,13 +113,13 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 SHORT = np.uint64((1 << 40) - 1)
 
 
-def _announce(buckets: int):
+def _announce(buckets: int, batches: int):
     """Per batch: its distinct hashes for each bucket, with two marks: several documents have it, very many places have it."""
     out = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary())])
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        if part < 0:
+        if part >= batches:  # null ids
             return out.empty_table()
         ids, raw, ends = _batch(t)
         first, _, h = window_runs(raw, ends)
@@ -215,11 +215,11 @@ def _distinct(ids: pa.ChunkedArray, raw: np.ndarray, ends: np.ndarray, first: np
     return list(seen), number, run, named[doc[run]] if len(run) else run, named, doc
 
 
-def _send(buckets: int):
+def _send(buckets: int, batches: int):
     out = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("text", pa.binary()), ("windows", pa.binary()), ("number", pa.binary()), ("owner", pa.binary())])
 
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or docs.column("part")[0].as_py() < 0:
+        if not docs.num_rows or docs.column("part")[0].as_py() >= batches:
             return out.empty_table()
         part = docs.column("part")[0].as_py()
         ids, raw, ends, first, count, bucket = _shared_runs(docs, answers, buckets)
@@ -251,32 +251,40 @@ def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.r_[False, same][: len(order)]
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two sorted levels as one (a merge: both halves are sorted runs)."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    return both[np.r_[True, both[1:] != both[:-1]]]
+Level = tuple[np.ndarray, np.ndarray]  # sorted strings, and for each the smallest id that has it
+
+
+def merged(a: Level, b: Level) -> Level:
+    """Two levels as one (a merge: both halves are sorted runs). b is the later one: of equal strings a's id is the smaller."""
+    both, owner = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    head = np.r_[True, both[1:] != both[:-1]]
+    return both[head], owner[order][head]
 
 
 class Family:
     """Levels of sorted strings, geometrically sized: adding a batch merges levels of its size class."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
+        self.levels: list[Level] = []
 
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys some level holds."""
-        held = np.zeros(len(keys), bool)
-        for level in self.levels:
+    def scan(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """For each of the sorted keys the smallest id that has it, by all levels and its own."""
+        least = owner.copy()
+        for level, held in self.levels:
             at = np.searchsorted(level, keys)
             at[at == len(level)] = 0
-            held |= level[at] == keys
-        return held
+            hit = level[at] == keys
+            least[hit] = np.minimum(least[hit], held[at[hit]])
+        return least
 
-    def add(self, keys: np.ndarray) -> None:
-        while self.levels and self.levels[-1].size.bit_length() <= keys.size.bit_length():
-            keys = merged(self.levels.pop(), keys)
-        if keys.size:
-            self.levels.append(keys)
+    def add(self, keys: np.ndarray, owner: np.ndarray) -> None:
+        level = keys, owner
+        while self.levels and self.levels[-1][0].size.bit_length() <= level[0].size.bit_length():
+            level = merged(self.levels.pop(), level)
+        if level[0].size:
+            self.levels.append(level)
 
 
 def _scan(family: Family, pending: list[tuple], found: dict[int, list[tuple[int, int]]]) -> None:
@@ -294,8 +302,8 @@ def _scan(family: Family, pending: list[tuple], found: dict[int, list[tuple[int,
     size = np.diff(np.r_[head, len(order)])
     keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, SPAN)[starts[order[head]]]).view(f"S{SPAN}")[:, 0]
     # An "S" string ends at its last byte that is not 0, so equal here means equal bytes: all have SPAN of them.
-    held = np.repeat(family.scan(keys), size) | (owner[piece[order]] > np.repeat(least, size))
-    family.add(keys)
+    held = owner[piece[order]] > np.repeat(family.scan(keys, least), size)
+    family.add(keys, least)
     hit = order[held]
     mask = np.zeros(len(windows), np.uint64)
     np.bitwise_or.at(mask, piece[hit], np.left_shift(np.uint64(1), inner[hit].astype(np.uint64)))
@@ -306,12 +314,12 @@ def _scan(family: Family, pending: list[tuple], found: dict[int, list[tuple[int,
 def _scan_bucket(t: pa.Table) -> pa.Table:
     """Per bucket: batches in id order; which windows of each piece an earlier document has, as a mask for its first document.
 
-    A piece that an earlier batch sent in the same bytes is found as a whole. Small batches that follow each other share one
-    suffix array.
+    A piece that a document of smaller id sent in the same bytes is found as a whole. Small batches that follow each other share one
+    suffix array. Batches of one id, if it fills several, are told apart by the ids that go with all strings.
     """
     out = pa.schema([("part", pa.int32()), ("number", pa.binary()), ("mask", pa.binary())])
     t = t.sort_by("part")
-    family, seen, pending, waiting = Family(), set(), [], 0
+    family, seen, pending, waiting = Family(), {}, [], 0
     found: dict[int, list[tuple[int, int]]] = {}
     with no_cycles():
         for r in range(t.num_rows):
@@ -322,10 +330,9 @@ def _scan_bucket(t: pa.Table) -> pa.Table:
             ends = np.cumsum(windows + SPAN - 1)
             for n, o, i, j in zip(number, owner, (ends - windows - SPAN + 1).tolist(), ends.tolist()):
                 piece = text[i:j]
-                if piece in seen:
+                if seen.setdefault(piece, o) < o:
                     found.setdefault(part, []).append((n, (1 << (j - i - SPAN + 1)) - 1))
                 else:
-                    seen.add(piece)
                     pending.append((part, n, piece, o))
                     waiting += j - i - SPAN + 1
             if waiting >= BATCH_WINDOWS:
@@ -340,7 +347,7 @@ def _scan_bucket(t: pa.Table) -> pa.Table:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _remove(buckets: int, with_text: bool):
+def _remove(buckets: int, batches: int, with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     out = pa.schema([*fields, *([("kept", pa.binary())] if with_text else [])])
 
@@ -352,7 +359,7 @@ def _remove(buckets: int, with_text: bool):
         masks = replies.filter(pc.is_valid(replies.column("mask")))
         ids, raw, ends = _batch(docs)
         cover = np.zeros(len(raw) + 1, np.int32)
-        if docs.column("part")[0].as_py() >= 0 and answers.num_rows:
+        if docs.column("part")[0].as_py() < batches and answers.num_rows:
             ids, raw, ends, first, count, bucket = _shared_runs(docs, answers, buckets)
             pieces, number, _, owner, named, doc = _distinct(ids, raw, ends, first, count)
             mask = np.zeros(len(pieces), np.uint32)
@@ -381,17 +388,19 @@ def _remove(buckets: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20, bucket_hashes: int = 500_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20, bucket_hashes: int = 500_000, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     n_bytes = text_bytes(docs, text_col)
     edges = part_edges(docs, id_col, n_bytes, part_bytes)
-    # A minimizer is new about every (window + 1) / 2 bytes.
+    batches = len(edges) + 1
+    parts = 2 * batches  # the second half holds rows with null ids
+    # A minimizer is new about every (window + 1) / 2 bytes; 2^22 buckets are what the hash's upper bits tell apart.
     buckets = min(1 << 22, max(1, math.ceil(n_bytes * 2 / (SPAN - GRAM + 2) / bucket_hashes)))
-    base = parted(docs, id_col, text_col, edges)
-    told = base.groupBy("part").applyInArrow(_announce(buckets), "bucket int, part int, hashes binary")
+    base = parted(docs, id_col, text_col, part_of(id_col, text_col, edges), parts)
+    told = base.groupBy("part").applyInArrow(_announce(buckets, batches), "bucket int, part int, hashes binary")
     answers = stored(told.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "part int, bucket int, hashes binary"), "none")
-    sent = base.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_send(buckets), "bucket int, part int, text binary, windows binary, number binary, owner binary")
+    sent = base.groupBy("part").cogroup(answers.repartitionById(parts, "part").groupBy("part")).applyInArrow(_send(buckets, batches), "bucket int, part int, text binary, windows binary, number binary, owner binary")
     masks = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_scan_bucket, "part int, number binary, mask binary")
     none = F.lit(None).cast("binary")
     replies = answers.select("part", "bucket", "hashes", none.alias("number"), none.alias("mask")).unionByName(masks.select("part", F.lit(None).cast("int").alias("bucket"), none.alias("hashes"), "number", "mask"))
-    return base.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_remove(buckets, with_text), RESULT + (", kept binary" if with_text else ""))
+    return base.groupBy("part").cogroup(replies.repartitionById(parts, "part").groupBy("part")).applyInArrow(_remove(buckets, batches, with_text), RESULT + (", kept binary" if with_text else ""))

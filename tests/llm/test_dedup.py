@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm import simhash as S
 from rillflow.llm import suffix_dedup as X
-from rillflow.llm.common import connected_components
+from rillflow.llm.common import connected_components, part_edges, part_of
 from rillflow.llm.exact_dedup import exact_dedup, exact_groups
 
 DOCS = [(10 * k, f"document {k // 3} tells of {k // 3 * 7} things and of {k % 3 if k % 4 == 0 else 0} more, while others repeat the words that were said before it. " * (1 + k % 2)) for k in range(30)]
@@ -99,14 +99,44 @@ def test_suffix_dedup(spark, monkeypatch, small):
     assert X.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_with_hot_ids(spark):
+    """Ids that fill several parts, and null ids that fill as many more."""
+    rng = np.random.default_rng(4)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"], 14))
+    shared = [line() for _ in range(6)]
+    docs = [(i, f"{line()} {shared[k % 6]} {line()} {shared[(k + i) % 6]}") for k in range(12) for i in (7, 7, 7, 9, 3)] + [(None, shared[k % 6] + line()) for k in range(40)]
+    docs += [(k + 20, shared[k % 6]) for k in range(12)]
+    edges = part_edges(frame(spark, docs), "doc_id", sum(len(t) for _, t in docs), 700)
+    assert len(edges) > len(set(edges)) > 2
+    placed = frame(spark, docs).select("doc_id", part_of("doc_id", "text", edges).alias("part")).distinct().collect()
+    assert len({r["part"] for r in placed if r["doc_id"] == 7}) > 3 < len({r["part"] for r in placed if r["doc_id"] is None})
+    for small, large in ((3, 7), (7, 9), (9, 20)):  # parts follow the ids, but that neighbours may share one
+        assert max(r["part"] for r in placed if r["doc_id"] == small) <= min(r["part"] for r in placed if r["doc_id"] == large)
+    assert rows(X.suffix_dedup(frame(spark, docs), part_bytes=700, bucket_hashes=200)) == suffixes(docs)
+
+
+def test_parts_of_many_edges(spark):
+    docs = [(k // 2 if k % 9 else 40, f"text {k}") for k in range(3000)] + [(None, f"t{k}") for k in range(50)]
+    df = frame(spark, docs)
+    edges = sorted([k // 2 for k in range(0, 2400, 2)] + [40] * 30)
+    many = {(r["doc_id"], r["text"]): r["part"] for r in df.select("doc_id", "text", part_of("doc_id", "text", edges).alias("part")).collect()}
+    for (i, _), p in many.items():
+        if i is None:
+            assert len(edges) < p <= 2 * len(edges) + 1
+        else:
+            assert (p == len(edges) or i <= edges[p]) and (p == 0 or edges[p - 1] <= i)
+    assert len({p for (i, _), p in many.items() if i == 40}) > 20
+
+
 def test_family_levels_stay_few():
-    family, rng, held = X.Family(), np.random.default_rng(1), set()
-    for _ in range(40):
+    family, rng, held = X.Family(), np.random.default_rng(1), {}
+    for n in range(40):
         keys = np.unique(rng.integers(97, 123, (30, 2), dtype=np.uint8).view("S2")[:, 0])
-        assert family.scan(keys).tolist() == [k in held for k in keys.tolist()]
-        family.add(keys)
-        held |= set(keys.tolist())
-    assert len(family.levels) <= 8 and set(np.concatenate(family.levels).tolist()) == held
+        owner = np.full(len(keys), n // 3)
+        assert family.scan(keys, owner).tolist() == [held.get(k, n // 3) for k in keys.tolist()]
+        family.add(keys, owner)
+        held = {k: n // 3 for k in keys.tolist()} | held
+    assert len(family.levels) <= 8 and set(np.concatenate([k for k, _ in family.levels]).tolist()) == set(held)
 
 
 def test_suffix_array_sorts_windows():
