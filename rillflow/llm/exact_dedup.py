@@ -5,7 +5,7 @@ length and prefix hash another row shares.
 
 Texts are equal when identical after each run of ASCII white space is replaced by one space. Defined cases: null counts as
 empty; of equal texts the row with the smallest id stays, null ids only where there is no other; of rows with equal
-id and text one stays; an empty table gives an empty result; other columns pass through `exact_dedup` untouched.
+id and text one stays; an empty table gives an empty result; other columns, whatever their names, pass through `exact_dedup` untouched.
 """
 
 from __future__ import annotations
@@ -25,19 +25,19 @@ def normalised(text_col: str) -> Column:
 
 
 def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """docs' columns (or only id and `carry`, if given) plus __full: hash of the whole text, null where the text is unique.
+    """docs' rows as one column __row (or only id and `carry`, if given) plus __full: hash of the whole text, null where the text is unique.
 
     `carry` holds columns made from __norm, the normalised text.
     """
-    normed = docs.withColumn("__norm", normalised(text_col))
-    signed = normed.withColumns({"__len": F.octet_length("__norm"), "__prefix": F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS))})
+    norm = docs.select(F.struct("*").alias("__row"), normalised(text_col).alias("__norm"))
+    signed = norm.withColumns({"__len": F.octet_length("__norm"), "__prefix": F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS))})
     light = stored(signed.select("__len", "__prefix"))
     lengths = light.groupBy("__len").count().filter("count > 1").select("__len")
     keys = stored(light.join(lengths, "__len", "left_semi").groupBy("__len", "__prefix").count().filter("count > 1").select("__len", "__prefix", F.lit(True).alias("__again")))
     if keys.count() <= broadcast_keys:
         keys = F.broadcast(keys)
     full = F.when(F.col("__again"), F.sha2(F.encode("__norm", "UTF-8"), 256)).alias("__full")
-    names = docs.columns if carry is None else [id_col]
+    names = ["__row"] if carry is None else [F.col("__row")[id_col].alias(id_col)]
     return signed.join(keys, ["__len", "__prefix"], "left").select(*names, full, *[c.alias(k) for k, c in (carry or {}).items()])
 
 
@@ -62,8 +62,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, in their own columns. Texts that no other row shares are never shuffled."""
     rows = refined(docs, id_col, text_col)
-    alone = rows.filter("__full is null").drop("__full")
-    again = rows.filter("__full is not null")
-    kept = again.groupBy("__full").agg(F.min(id_col).alias("__keep")).withColumnRenamed("__full", "__hash")
-    again = again.join(kept, (F.col("__full") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    return alone.unionByName(again.dropDuplicates(["__full"]).select(*docs.columns))
+    alone = rows.filter("__full is null").select("__row")
+    again = rows.filter("__full is not null").withColumn("__id", F.col("__row")[id_col])
+    kept = again.groupBy("__full").agg(F.min("__id").alias("__keep")).withColumnRenamed("__full", "__hash")
+    again = again.join(kept, (F.col("__full") == F.col("__hash")) & F.col("__id").eqNullSafe(F.col("__keep")))
+    return alone.union(again.dropDuplicates(["__full"]).select("__row")).select("__row.*")

@@ -69,6 +69,26 @@ def test_links_are_complete(spark, n, tile):
     assert {f: got.get(f, f) for f in fps} == label
 
 
+CLASHING = ["__norm", "__len", "__prefix", "__again", "__full", "__keep", "__hash", "__row", "__id", "__key", "__gone", "__first", "__own", "__held", "key", "id", "root", "h", "y"]
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """What the pipeline's stages keep comes out as it went in."""
+    from rillflow.llm.decontaminate import clean_rows
+    from rillflow.llm.near_copies import near_copies
+    from rillflow.llm.toxicity import fit, keep_clean
+
+    docs = [(1, "one text of some words here", 1), (2, "one text of some words here", 2), (3, None, 3), (None, "alone " * 9, 4), (5, "what is the capital city of this land", 5)]
+    wide = spark.createDataFrame([(i, t, *[f"{c}{n}" for c in CLASHING]) for i, t, n in docs], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    items = spark.createDataFrame([(1, "what is the capital city of this land")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for kept, want in ((exact_dedup(wide), [1, 3, 4, 5]), (near_copies(wide), [1, 3, 4, 5]), (clean_rows(wide, items), [1, 2, 3, 4]), (keep_clean(wide, fit(wide, labels)), [1, 2, 3, 4, 5])):
+        assert kept.columns == wide.columns
+        got = {r["__norm"]: r for r in kept.collect()}
+        assert sorted(got) == [f"__norm{n}" for n in want]
+        assert all(r[c] == f"{c}{name[6:]}" for name, r in got.items() for c in CLASHING)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["root"] for r in connected_components(edges).collect()} == {0}

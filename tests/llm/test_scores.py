@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -76,6 +79,55 @@ def test_toxicity_sample_is_bounded(spark):
     assert seen[2][0] == len({(i, t) for i, t in rows_})
 
 
+def as_pattern(template: str) -> str:
+    """A template as a regular expression over words that are each followed by a space."""
+    out = []
+    for part in re.findall(r"\[\[|\]\]|\{\{.*?\}\}|[^\[\]{}]+|.", template):
+        span = re.fullmatch(r"\{\{(\d+)\.\.(\d+)\}\}", part)
+        if part in ("[[", "]]"):
+            out.append("(?:" if part == "[[" else ")?")
+        elif span:
+            out.append(rf"(?:\S+ ){{{span[1]},{span[2]}}}")
+        elif part.startswith("{{"):
+            out.append(f"(?:{part[2:-2]}) ")
+        else:
+            out += [f"{re.escape(w)} " for w in S.words_of(part)]
+    return "(?:^|(?<= ))" + "".join(out)
+
+
+def variants(rng) -> str:
+    """Words of a template with its regions filled in or left out at random, now and then with a word wrong."""
+    label = rng.choice(list(S.TEMPLATES))
+    text = rng.choice(S.TEMPLATES[label])
+    while "[[" in text:
+        text = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: rng.choice([m[1], ""]), text)
+    text = re.sub(r"\{\{(\d+)\.\.(\d+)\}\}", lambda m: " ".join(rng.choice(["the", "name", "of"]) for _ in range(rng.randint(int(m[1]), int(m[2])))), text)
+    text = re.sub(r"\{\{([^{}.]*)\}\}", lambda m: rng.choice(m[1].split("|")), text)
+    words = S.words_of(text)
+    if rng.random() < 0.3:
+        words[rng.randrange(len(words))] = "wrong"
+    return " ".join(words)
+
+
+def test_labels_against_regular_expressions():
+    rng = random.Random(8)
+    texts = [" and so on. ".join(variants(rng) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    patterns = {k: [re.compile(as_pattern(t)) for t in v] for k, v in S.TEMPLATES.items()}
+    met = set()
+    for text, found in zip(texts, S.scan_column(pa.array(texts))):
+        words = "".join(f"{w} " for w in S.words_of(text))
+        want = {k for k, ps in patterns.items() if any(p.search(words) for p in ps)} | {label for phrase, label in S.PHRASES.items() if f" {phrase} " in f" {words}"}
+        assert found[5] == ",".join(sorted(want)), text
+        met |= want
+    assert met >= set(S.TEMPLATES)
+
+
+def test_scores_rise_with_the_wording():
+    texts = ["nothing", "cc by", "general public license", "CC0 1.0 Universal", "Licensed under the ISC license", S.TEMPLATES["mit-text"][0].replace("{{1..8}}", "the authors")]
+    scores = [r[6] for r in S.scan_column(pa.array(texts))]
+    assert scores == sorted(scores) and scores[:3] == [0.0, 1 / 3, 0.5] and 0.5 < scores[3] < scores[4] == scores[5] == 1.0
+
+
 def test_fold(spark):
     import zlib
 
