@@ -120,23 +120,36 @@ def spanning(node: np.ndarray, block: np.ndarray, alike) -> tuple[np.ndarray, np
     return nodes[np.array(out_a, np.int64)], nodes[np.array(out_b, np.int64)]
 
 
-def links(distinct: DataFrame, n: int, bits: int = 4, tile: int = 8192, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b): links that connect exactly what all links within `bits` bits connect. distinct: column fp, n rows.
-
-    A posting list longer than `tile` is dealt into tiles, and each pair of tiles is a list of its own, so that
-    no task holds a whole hot list and no pair is lost.
-    """
+#: Posting lists longer than a tile are broadcast (key and tiles, some 30 bytes each) up to this many; beyond it they are joined.
+BROADCAST_LISTS = 200_000
+
+
+def dealt(posts: DataFrame, on: list[str], node: str, tile: int, broadcast_lists: int = BROADCAST_LISTS) -> DataFrame:
+    """(node, block) of the posts whose list `on` has another one: a list up to `tile` long is a block, a longer one is dealt into
+    tiles, and each pair of tiles is a block. Lists are counted with partial sums first, and long ones are dealt where their posts lie, so
+    that no task holds a whole hot list and no pair is lost."""
+    counted = stored(posts.groupBy(*on).agg(F.count("*").alias("__n")).filter("__n > 1"))
+    whole, long = counted.filter(F.col("__n") <= tile).select(*on), counted.filter(F.col("__n") > tile).select(*on, F.ceil(F.col("__n") / tile).cast("int").alias("__tiles"))
+    lists = long.count()
+    small = F.broadcast(long) if lists <= broadcast_lists else long
+    rest = posts.join(small.select(*on), on, "left_anti") if lists else posts
+    out = rest.join(whole, on).select(node, F.xxhash64(*on, F.lit(0), F.lit(0)).alias("block"))
+    if not lists:
+        return out
+    own, other = F.pmod(F.xxhash64(node), F.col("__tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))
+    many = posts.join(small, on).select(node, *on, own.alias("__own"), other.alias("__other"))
+    return out.unionByName(many.select(node, F.xxhash64(*on, F.least("__own", "__other"), F.greatest("__own", "__other")).alias("block")))
+
+
+def links(distinct: DataFrame, n: int, bits: int = 4, tile: int = 8192, bucket_rows: int = 200_000, broadcast_lists: int = BROADCAST_LISTS) -> DataFrame:
+    """(a, b): links that connect exactly what all links within `bits` bits connect. distinct: column fp, n rows."""
     need = BYTES - bits
     size = min(4, max(1, math.ceil(math.log(max(2, n) / 64, 256))))
     sets = position_sets(size)
     masks = [sum(0xFF << (8 * p) for p in s) for s in sets]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     posts = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(signed)])).alias("x")).select("fp", "x.k", "x.v")
-    heavy = posts.groupBy("k", "v").count().filter(F.col("count") > 1).withColumn("tiles", F.ceil(F.col("count") / tile).cast("int")).drop("count")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    tiled = posts.join(heavy, ["k", "v"]).withColumn("own", own).select("fp", "k", "v", "own", other.alias("other"))
-    lists = tiled.select("fp", F.xxhash64("k", "v", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
+    lists = dealt(posts, ["k", "v"], "fp", tile, broadcast_lists)
     buckets = max(1, math.ceil(n * len(sets) / bucket_rows))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

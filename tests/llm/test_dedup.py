@@ -49,13 +49,13 @@ def test_simhash_classes(spark):
     assert S.simhash_classes(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n, tile", [(300, 8192), (300, 7), (10**7, 8192), (10**10, 8192)])
-def test_links_are_complete(spark, n, tile):
+@pytest.mark.parametrize("n, tile, lists", [(300, 8192, 9), (300, 7, 9999), (300, 7, 0), (10**7, 8192, 9), (10**10, 8192, 9)])
+def test_links_are_complete(spark, n, tile, lists):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), False)) for b in base for _ in range(5)]
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in flips})
-    e = S.links(spark.createDataFrame([(f,) for f in fps], "fp long"), n, tile=tile)
+    e = S.links(spark.createDataFrame([(f,) for f in fps], "fp long"), n, tile=tile, broadcast_lists=lists)
     got = {r["node"]: r["root"] for r in connected_components(e).collect()}
     label = {f: f for f in fps}
     for _ in range(len(fps)):
