@@ -39,6 +39,15 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Small sides of joins with texts are broadcast up to this many rows (some 100 bytes each); beyond it the texts are shuffled to them.
+BROADCAST_ROWS = 200_000
+
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted, are few. df: stored, or cheap to make twice."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def as_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of a string column, b"" for null."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

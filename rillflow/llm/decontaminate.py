@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import stored
+from rillflow.llm.common import counted, stored
 
 #: Items' windows are broadcast up to this many (about 40 bytes each).
 BROADCAST_WINDOWS = 200_000
@@ -143,7 +143,7 @@ def _aligned(held: DataFrame, docs: DataFrame, items: DataFrame, small, id_col:
     An occurrence is an offset with the hits near it. Of each item window it takes the hit at the offset itself, or the nearest one, or one
     with the item's own words; each choice is tried. Windows of nothing but slots count only with the item's own words.
     """
-    again = held.select(F.col("doc_id").alias("__id")).distinct()
+    again = counted(held.select(F.col("doc_id").alias("__id")).distinct())
     some = docs.join(again, docs[id_col].eqNullSafe(again["__id"]), "left_semi")
     forms = F.explode(F.array(*[F.struct(F.lit(m).alias("meets"), document_words(F.col(text_col), m).alias("words")) for m in range(3)])).alias("f")
     some = some.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), forms).select("doc_id", "row", "f.meets", F.explode(windows(F.col("f.words"), length)).alias("w"))
@@ -194,7 +194,7 @@ def _consistent(held: DataFrame, docs: DataFrame, items: DataFrame, small, id_co
     Only documents that hold an item with slots are looked at again.
     """
     slots = items.filter("item_slots is not null")
-    again = held.join(small(slots.select("item_id", "form").distinct()), ["item_id", "form"], "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    again = counted(held.join(small(slots.select("item_id", "form").distinct()), ["item_id", "form"], "left_semi").select(F.col("doc_id").alias("__id")).distinct())
     some = docs.join(again, docs[id_col].eqNullSafe(again["__id"]), "left_semi").select(F.col(id_col).alias("doc_id"), slotted(F.col(text_col)).alias("words"))
     some = some.select("doc_id", F.explode(windows(F.col("words"), length)).alias("w")).select("doc_id", F.col("w.key").alias("key"), F.col("w.slots").alias("slots"))
     # Slot pairs (item's value, document's value) of each window that both have.
@@ -209,12 +209,12 @@ def _consistent(held: DataFrame, docs: DataFrame, items: DataFrame, small, id_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, in their own columns, without those that hold an item."""
-    flagged = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()
+    flagged = counted(stored(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__id")).distinct()))
     return docs.join(flagged, docs[id_col].eqNullSafe(flagged["__id"]), "left_anti")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, in their own columns, without the rows that hold an item: each row is judged by its own text, whatever its id."""
     row = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    flagged = contaminated(docs.select(row.alias("__row"), F.col(text_col)), benchmark, "__row", text_col).select(F.col("doc_id").alias("__held")).distinct()
+    flagged = counted(stored(contaminated(docs.select(row.alias("__row"), F.col(text_col)), benchmark, "__row", text_col).select(F.col("doc_id").alias("__held")).distinct()))
     return docs.join(flagged, row == flagged["__held"], "left_anti")

@@ -17,7 +17,6 @@ every score is the share of toxic labels (0 with none); an empty table gives an
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,18 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     usable = F.lit(True) if usable is None else usable
     known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
-    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = texts.filter(F.octet_length("__text") <= max_bytes // 8).join(known, "__id").withColumn("h", F.xxhash64("__id", "__text", "y"))
-    told = stored(rows.groupBy("h", "y").agg(F.max(F.octet_length("__text")).cast("long").alias("size")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.xxhash64(F.col(id_col), text).alias("own")
+    # Texts stay where they are: hashes and sizes meet the labels, and the sample's hashes come back to the texts.
+    rows = docs.select(F.col(id_col).alias("__id"), own, F.octet_length(text).cast("long").alias("size")).filter(F.col("size") <= max_bytes // 8)
+    told = stored(rows.join(known, "__id").groupBy("own", "y").agg(F.max("size").alias("size")))
     sizes = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    last = {}
+    chosen = []
     for y in sorted(sizes):
-        first = told.filter(F.col("y") == y).orderBy("h").limit(max_docs // 2).select("h", "size").collect()
-        last[y] = first[int((np.cumsum([r["size"] for r in first]) <= max_bytes // 2).sum()) - 1]["h"]
-    if not last:
+        first = told.filter(F.col("y") == y).orderBy(F.xxhash64("own", "y"), "own").limit(max_docs // 2).select("own", "size").collect()
+        fits = int((np.cumsum([r["size"] for r in first]) <= max_bytes // 2).sum())
+        chosen += [(r["own"], y) for r in first[:fits]]
+    if not chosen:
         return train([], np.empty(0, np.int64), np.empty(0))
-    chosen = reduce(Column.__or__, [(F.col("y") == y) & (F.col("h") <= F.lit(h)) for y, h in last.items()])
-    some = rows.filter(chosen).groupBy("h").agg(F.first("y").alias("y"), F.first("__text").alias("__text"))
+    sample = F.broadcast(docs.sparkSession.createDataFrame(chosen, "own long, y int"))  # at most max_docs rows
+    some = docs.select(own, text.alias("__text")).join(sample, "own").groupBy("own", "y").agg(F.first("__text").alias("__text"))
+    some = some.select(F.xxhash64("own", "y").alias("h"), "y", "__text")
     out = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("bag", pa.binary())])
 
     def bags(batches):
