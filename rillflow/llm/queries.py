@@ -80,6 +80,13 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str, path: str | None = None)
     return ids_digest(read_ids(spark, where))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.merkle import lowered, manifest, proofs
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return proofs(manifest(table(spark, sf_dir, "documents"), claim=lowered(tampered)))
+
+
 ORACLE_OP4 = """
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents
@@ -119,6 +126,45 @@ SELECT doc_id, item_id, n_windows, n_matched, containment, n_slots, n_changed FR
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_matched DESC, n_windows DESC, n_slots DESC, n_changed DESC) = 1
 """
 
+#: CRC-32 of a decimal number, bit by bit.
+CRC32_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda x: ord(x)::BIGINT)), lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+FIELD_SQL = "coalesce(concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}), '-')".format
+LEAF_SQL = lambda text: "sha256(concat(" + ", ".join(FIELD_SQL(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+ORACLE_OP11 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS k, {LEAF_SQL("text")} AS leaf,
+    CASE WHEN {CRC32_SQL.format(id="doc_id")} % 3 = 0 THEN {LEAF_SQL("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {LEAF_SQL("text")} END AS claim,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p FROM documents
+), trees(k, lv, p, n, h) AS (
+  SELECT k, 0, p, count(*) OVER (PARTITION BY k), leaf FROM leaves
+  UNION ALL SELECT k, lv + 1, p // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM trees WHERE n > 1 GROUP BY k, lv, p // 8
+), subroots AS (
+  SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS p FROM trees WHERE n = 1
+), tops(lv, p, n, h) AS (
+  SELECT 0, p, count(*) OVER (), subroot FROM subroots
+  UNION ALL SELECT lv + 1, p // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY p)) FROM tops WHERE n > 1 GROUP BY lv, p // 8
+), runs AS (
+  SELECT k, lv, p // 8 AS run, list(h ORDER BY p) AS hs FROM trees WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT '*', lv, p // 8, list(h ORDER BY p) FROM tops WHERE n > 1 GROUP BY ALL
+), inner_walk(doc_id, k, lv, p, h, sib) AS (
+  SELECT doc_id, k, 0, p, claim, '' FROM leaves
+  UNION ALL SELECT w.doc_id, w.k, w.lv + 1, w.p // 8, sha256(list_aggregate(list_concat(hs[:w.p % 8], [w.h], hs[w.p % 8 + 2:]), 'string_agg', '')),
+    sib || coalesce(list_aggregate(list_concat(hs[:w.p % 8], hs[w.p % 8 + 2:]), 'string_agg', ''), '')
+  FROM inner_walk w JOIN runs r ON r.k = w.k AND r.lv = w.lv AND r.run = w.p // 8
+), starts AS (
+  SELECT w.doc_id, w.k, s.p, w.h, w.sib FROM (SELECT * FROM inner_walk QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY lv DESC) = 1) w JOIN subroots s USING (k)
+), outer_walk(doc_id, k, lv, p, h, sib) AS (
+  SELECT doc_id, k, 0, p, h, sib FROM starts
+  UNION ALL SELECT w.doc_id, w.k, w.lv + 1, w.p // 8, sha256(list_aggregate(list_concat(hs[:w.p % 8], [w.h], hs[w.p % 8 + 2:]), 'string_agg', '')),
+    sib || coalesce(list_aggregate(list_concat(hs[:w.p % 8], hs[w.p % 8 + 2:]), 'string_agg', ''), '')
+  FROM outer_walk w JOIN runs r ON r.k = '*' AND r.lv = w.lv AND r.run = w.p // 8
+), ends AS (
+  SELECT * FROM outer_walk QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY lv DESC) = 1
+)
+SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(e.sib) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM leaves l JOIN subroots s USING (k) JOIN ends e ON e.doc_id = l.doc_id AND e.k = l.k JOIN tops t ON t.n = 1
+"""
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -130,5 +176,6 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_huffman_ids": op10_huffman_ids,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8}
+ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8, "op11_merkle_manifest": ORACLE_OP11}
