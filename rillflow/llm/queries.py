@@ -87,6 +87,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(manifest(table(spark, sf_dir, "documents"), claim=lowered(tampered)))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.url_filter import fit, judged, labelled_urls
+
+    return judged(table(spark, sf_dir, "pages"), fit(labelled_urls(spark)))
+
+
 ORACLE_OP4 = """
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents
@@ -126,14 +132,14 @@ SELECT doc_id, item_id, n_windows, n_matched, containment, n_slots, n_changed FR
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_matched DESC, n_windows DESC, n_slots DESC, n_changed DESC) = 1
 """
 
-#: CRC-32 of a decimal number, bit by bit.
-CRC32_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda x: ord(x)::BIGINT)), lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+#: CRC-32 of an ASCII text, bit by bit.
+CRC32_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
 FIELD_SQL = "coalesce(concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}), '-')".format
 LEAF_SQL = lambda text: "sha256(concat(" + ", ".join(FIELD_SQL(c=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
 ORACLE_OP11 = f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, coalesce('+' || lang, '') AS k, {LEAF_SQL("text")} AS leaf,
-    CASE WHEN {CRC32_SQL.format(id="doc_id")} % 3 = 0 THEN {LEAF_SQL("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {LEAF_SQL("text")} END AS claim,
+    CASE WHEN {CRC32_SQL.format(text="CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {LEAF_SQL("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {LEAF_SQL("text")} END AS claim,
     row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p FROM documents
 ), trees(k, lv, p, n, h) AS (
   SELECT k, 0, p, count(*) OVER (PARTITION BY k), leaf FROM leaves
@@ -165,6 +171,53 @@ SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(e.sib) AS proof_sha256,
 FROM leaves l JOIN subroots s USING (k) JOIN ends e ON e.doc_id = l.doc_id AND e.k = l.k JOIN tops t ON t.n = 1
 """
 
+
+def _oracle_op13() -> str:
+    """The rules, and the fit and score of the same labelled table (ASCII addresses)."""
+    from rillflow.llm import url_filter as U
+
+    given = ", ".join(f"('{u}', {y}.0)" for y, whole in ((1, U.addresses(U.BLOCKED)), (0, U.addresses(U.ALLOWED))) for u in whole)
+    place = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})".format
+    host = f"translate(coalesce({place(1)}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{text}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}', '{action}')" for action, text in U.RULES)
+    grams = "list_concat(" + ", ".join(f"list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n}))" for n in U.SIZES) + ")"
+    half = "list_transform({0}, lambda x: {{'b': x, 'c': 1.0 / sqrt(len({0})::DOUBLE)}})".format
+    return f"""
+WITH RECURSIVE labelled(url, y) AS (VALUES {given}
+), every AS (
+  SELECT NULL::BIGINT AS page_id, y::DOUBLE AS y, url, {host} AS host, coalesce({place(2)}, '') AS path FROM labelled
+  UNION ALL SELECT page_id, NULL::DOUBLE, url, {host}, coalesce({place(2)}, '') FROM pages
+), texts AS (
+  SELECT host, path, k, t FROM (SELECT DISTINCT host, path FROM every), LATERAL (SELECT unnest(['h', 'p']) AS k, unnest([CASE WHEN host <> '' THEN '.' || host || '.' ELSE '' END, regexp_replace(lower(path), '[0-9]+', '0', 'g')]) AS t)
+), hashed AS (
+  SELECT host, path, k, list_sort(list_distinct(list_transform({grams}, lambda g: {CRC32_SQL.format(text="k || g")} % {U.BUCKETS} + 1))) AS d FROM texts
+), described AS (
+  SELECT a.host, a.path, list_concat({half("a.d")}, {half("b.d")}) AS f FROM hashed a JOIN hashed b ON a.host = b.host AND a.path = b.path AND a.k = 'h' AND b.k = 'p'
+), examples AS (
+  SELECT row_number() OVER (ORDER BY url, y) AS i, y, f FROM every JOIN described USING (host, path) WHERE y IS NOT NULL
+), known AS (
+  SELECT b, row_number() OVER (ORDER BY b) AS j, held FROM (SELECT x.b AS b, list({{'i': i, 'c': x.c}} ORDER BY i, x.c) AS held FROM (SELECT i, unnest(f) AS x FROM examples) GROUP BY ALL)
+), consts AS (
+  SELECT (SELECT list({{'y': y, 'f': list_transform(f, lambda x: {{'j': list_position(ks, x.b), 'c': x.c}})}} ORDER BY i) FROM examples, (SELECT list(b ORDER BY b) AS ks FROM known)) AS ex, (SELECT list(held ORDER BY b) FROM known) AS lists
+), m(t, b, p, w, q) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, list_transform(lists, lambda l: 0.0::DOUBLE), list_transform(lists, lambda l: 0.0::DOUBLE) FROM consts
+  UNION ALL
+  SELECT t + 1, b + {U.MOMENTUM} * (b - p) + {U.RATE}::DOUBLE / len(r) * list_sum(r), b,
+    list_transform(lists, lambda l, k: w[k] * {U.DECAY}::DOUBLE + {U.MOMENTUM}::DOUBLE * (w[k] - q[k]) + {U.RATE}::DOUBLE / len(r) * list_sum(list_transform(l, lambda x: r[x.i] * x.c))), w
+  FROM (SELECT m.*, lists, list_transform(ex, lambda e: e.y - 1.0 / (1.0 + exp(-(b + list_sum(list_transform(e.f, lambda x: w[x.j] * x.c)))))) AS r FROM m, consts WHERE t < {U.STEPS})
+), model AS (
+  SELECT round(b * {U.MILLIONTHS}) AS bias, w FROM m WHERE t = {U.STEPS}
+), weights AS (
+  SELECT b, round(w[j] * {U.MILLIONTHS}) AS w FROM known, model
+), scored AS (
+  SELECT host, path, bias + coalesce(sum(weights.w * x.c), 0) AS z FROM (SELECT host, path, unnest(list_concat(f, [{{'b': 0, 'c': 0.0}}])) AS x FROM described) LEFT JOIN weights ON weights.b = x.b, model GROUP BY host, path, bias
+), fits AS (
+  SELECT host, path, max_by({{'rule': rule, 'action': action}}, length(rule)) AS found FROM (SELECT DISTINCT host, path FROM every) JOIN (VALUES {rules}) r(rule, h, p, action) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL
+)
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.action, CASE WHEN z > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM (SELECT page_id, host, path FROM every WHERE y IS NULL) LEFT JOIN fits USING (host, path) JOIN scored USING (host, path)
+"""
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -177,5 +230,6 @@ QUERIES = {
     "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_huffman_ids": op10_huffman_ids,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_url_filter": op13_url_filter,
 }
-ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8, "op11_merkle_manifest": ORACLE_OP11}
+ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8, "op11_merkle_manifest": ORACLE_OP11, "op13_url_filter": _oracle_op13()}
