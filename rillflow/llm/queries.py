@@ -87,6 +87,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(manifest(table(spark, sf_dir, "documents"), claim=lowered(tampered)))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rillflow.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rillflow.llm.url_filter import fit, judged, labelled_urls
 
@@ -172,6 +178,28 @@ FROM leaves l JOIN subroots s USING (k) JOIN ends e ON e.doc_id = l.doc_id AND e
 """
 
 
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {TERMS_SQL} AS w FROM documents
+), totals AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), counts AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM counts, totals GROUP BY t, docs
+), items AS (
+  SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {TERMS_SQL} AS w FROM benchmark)
+), scores AS (
+  SELECT q, item_id, doc_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * docs) // terms))))::BIGINT AS score
+  FROM items JOIN weights USING (t) JOIN counts USING (t) JOIN d USING (r), totals GROUP BY ALL
+), placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
 def _oracle_op13() -> str:
     """The rules, and the fit and score of the same labelled table (ASCII addresses)."""
     from rillflow.llm import url_filter as U
@@ -230,6 +258,7 @@ QUERIES = {
     "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_huffman_ids": op10_huffman_ids,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
     "op13_url_filter": op13_url_filter,
 }
-ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8, "op11_merkle_manifest": ORACLE_OP11, "op13_url_filter": _oracle_op13()}
+ORACLES = {"op4_exact_dedup": ORACLE_OP4, "op8_benchmark_decontamination": ORACLE_OP8, "op11_merkle_manifest": ORACLE_OP11, "op12_ranked_search": ORACLE_OP12, "op13_url_filter": _oracle_op13()}
