@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from rillflow.llm.common import batch_of, factorised, gathered, no_cycles, slices_of
+from rillflow.llm.common import batch_of, factorised, gathered, lean, no_cycles, slices_of
 
 #: White space as the vocabulary's split pattern knows it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -233,6 +233,10 @@ class ByteBPE:
                 out[at + i] = np.frombuffer(b"".join(map(held.__getitem__, cut)), "<u4")
         return out
 
+    def forget(self) -> None:
+        """At the end of a task: the caches hold what a few batches need, and a worker that waits shall not keep them."""
+        self.pieces, self.words = {}, {}
+
     def decode(self, ids: np.ndarray) -> str:
         return gathered(self.bytes, self.first[ids], self.size[ids]).tobytes().decode("utf-8", "replace")
 
@@ -247,10 +251,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, ids binary): unsigned 32-bit little-endian ids of each whole text. No shuffle."""
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
+    @lean
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
             yield batch_of(out, b.column(0).cast(pa.int64()), [x.tobytes() for x in bpe.encode(b.column(1))])
+        bpe.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
@@ -259,6 +265,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     """(doc_id, text) of rows with ids; null ids give an empty text."""
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
+    @lean
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
@@ -271,13 +278,15 @@ def bpe_encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """(doc_id, ids binary, text): each text's ids, and the text that they decode to, in one pass."""
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
+    @lean
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 ids = bpe.encode(part.column(1))
                 yield batch_of(out, part.column(0).cast(pa.int64()), [x.tobytes() for x in ids], [bpe.decode(x) for x in ids])
+        bpe.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary, text string")
 
@@ -287,10 +296,12 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @lean
     def run(batches):
         bpe = tokenizer(path)
         for b in batches:
             ids = bpe.encode(b.column(1))
             yield batch_of(out, b.column(0).cast(pa.int64()), [len(x) for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids])
+        bpe.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -12,6 +12,7 @@ import gc
 import math
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,31 @@ def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: a Python worker stays for later tasks, and what it has once held would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(task):
+    """A function over a task's batches that releases memory when the task has ended."""
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def as_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of a string column, b"" for null."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import as_text, batch_of, slices_of, stored, word_lists
+from rillflow.llm.common import as_text, batch_of, lean, release, slices_of, stored, word_lists
 
 MAX_DOCS, MAX_BYTES = 6000, 32 << 20
 TABLE_BITS = 18
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = some.select(F.xxhash64("own", "y").alias("h"), "y", "__text")
     out = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("bag", pa.binary())])
 
+    @lean
     def bags(batches):
         for b in batches:
             yield batch_of(out, b.column(0), b.column(1), [bag(t) for t in as_text(b.column(2))])
@@ -156,13 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = some.mapInArrow(bags, "h long, y int, bag binary").toArrow().sort_by("h")
     y = got.column("y").to_numpy().astype(np.int64)
     w = np.array([sizes.get(k, 0) / max(1, n) for k, n in enumerate(np.bincount(y, minlength=2))])[y]
-    return train(got.column("bag").to_pylist(), y, w / w.mean())
+    model = train(got.column("bag").to_pylist(), y, w / w.mean())
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): probability of label 1 for each row. No shuffle."""
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
+    @lean
     def run(batches):
         for b in batches:
             yield batch_of(out, b.column(0).cast(pa.int64()), model.scores(b.column(1)))
@@ -174,6 +179,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
     """docs without the rows that score `threshold` or more, in their own columns. No shuffle."""
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at)) < threshold))
