@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillflow.functions.similarity import ratios
 from rillflow.functions.text import null_if_empty, title_case
 
 #: Abbreviations (whole names, any letter case, first hit wins) and spelling fixes.
@@ -66,7 +67,7 @@ def fuzzy_matches(names: DataFrame, canon: DataFrame, cutoff: float, scorer: str
 
     names: column name; canon: columns k, canonical. Both scores bound the characters that two names share, so a name and a candidate
     meet by one of their rarest characters and by a length at which the cutoff can be reached; pairs that share too few
-    characters go before they are scored. `ratio` is twice the matching characters over both lengths (in pandas, on what is left);
+    characters go before they are scored. `ratio` is the Ratcliff-Obershelp score (whole Arrow batches of what is left at once);
     `levenshtein` is 1 - distance / longer length (built in).
     """
     n = names.select("name", F.lower("name").alias("a")).filter(F.col("a") != "").distinct().withColumn("n", F.length("a"))
@@ -87,10 +88,7 @@ def fuzzy_matches(names: DataFrame, canon: DataFrame, cutoff: float, scorer: str
 
         @F.pandas_udf("double")
         def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            from difflib import SequenceMatcher
-
-            # The stdlib's best-match search holds the wanted name as the second sequence.
-            return pd.Series([SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)])
+            return pd.Series(ratios(b.tolist(), a.tolist()))  # the wanted name is the second text
 
         score = ratio("a", "k")
     else:

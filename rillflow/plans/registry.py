@@ -697,17 +697,43 @@ def fuzzy_levenshtein(spark, sf_dir):
     return M.fuzzy_matches(on(spark, sf_dir, TYPOS.replace("FROM part", "FROM {part}"), "part"), _canon(spark, sf_dir), 0.84, "levenshtein")
 
 
-@query()
+def best_ratio(names: str, cutoff: float, before: str = "") -> str:
+    """CTEs up to best (name, canonical, k, score): the longest blocks of all pairs, and of what lies left and right of them, found together.
+
+    Runs of equal characters on a diagonal are islands; the longest is a segment's block, the earliest in the first text and then in the second.
+    """
+    bound = f">= {cutoff} * (length(k) + length(name))"
+    shared = "list_sum(list_transform(list_distinct(string_split(k, '')), lambda x: least(length(k) - length(replace(k, x, '')), length(name) - length(replace(lower(name), x, '')))))"
+    return f"""WITH RECURSIVE c AS (SELECT lower(name) AS k, arg_max(name, line) AS canonical FROM ({CANON}) GROUP BY 1), {before} n AS ({names}),
+pairs AS (SELECT name, k, lower(name) AS b FROM n, c WHERE name <> '' AND k <> '' AND 2 * least(length(k), length(name)) {bound} AND 2 * {shared} {bound}),
+seg(name, k, step, a, b, m) AS (
+  SELECT name, k, '', k, b, 0 FROM pairs
+  UNION ALL
+  SELECT name, k, step || side, CASE side WHEN 'l' THEN a[:i - 1] ELSE a[i + size:] END, CASE side WHEN 'l' THEN b[:j - 1] ELSE b[j + size:] END, CASE side WHEN 'l' THEN size ELSE 0 END
+  FROM (
+    SELECT name, k, step, any_value(a) AS a, any_value(b) AS b, arg_min({{'i': i, 'j': j, 'size': size}}, (-size, i, j)) AS block FROM (
+      SELECT name, k, step, a, b, min(i) AS i, min(j) AS j, count(*) AS size FROM (
+        SELECT *, i - row_number() OVER (PARTITION BY name, k, step, i - j ORDER BY i) AS island FROM (
+          SELECT *, unnest(generate_series(1, length(b))) AS j FROM (SELECT name, k, step, a, b, unnest(generate_series(1, length(a))) AS i FROM seg WHERE a <> '' AND b <> '')
+        ) WHERE a[i] = b[j]
+      ) GROUP BY name, k, step, a, b, i - j, island
+    ) GROUP BY name, k, step
+  ), LATERAL (SELECT block.i AS i, block.j AS j, block.size AS size), LATERAL (SELECT unnest(['l', 'r']) AS side)
+),
+scored AS (SELECT name, k, 2.0::DOUBLE * sum(m) / (length(k) + length(name)) AS score FROM seg GROUP BY name, k),
+best AS (SELECT name, canonical, k, score FROM scored JOIN c USING (k) WHERE score >= {cutoff} QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, k DESC) = 1)
+"""
+
+
+@query(best_ratio(TYPOS, 0.84) + "SELECT name, canonical, score FROM best")
 def fuzzy_ratio(spark, sf_dir):
-    """Ratcliff-Obershelp scores have no SQL; tests compare with the standard library."""
     return M.fuzzy_matches(on(spark, sf_dir, TYPOS.replace("FROM part", "FROM {part}"), "part"), _canon(spark, sf_dir), 0.84, "ratio")
 
 
-@query()
-def standardise_names(spark, sf_dir):
-    """Rules, exact and fuzzy look-ups composed over the brands' part names."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, "s").otherwise("")).alias("raw"))
-    return M.standardised(part, "raw", _canon(spark, sf_dir), "program").select("p_partkey", "raw", "standard")
+def standard_ratio(raw: str, rule: str, cutoff: float) -> str:
+    rules = f"r AS (SELECT DISTINCT raw, {rule} AS name FROM ({raw})), e AS (SELECT raw, name, canonical FROM r LEFT JOIN c ON lower(name) = k),"
+    best = best_ratio("SELECT DISTINCT name FROM e WHERE canonical IS NULL AND name <> ''", cutoff, rules)
+    return best + f"SELECT p_partkey, w.raw, coalesce(e.canonical, best.canonical, e.name) AS standard FROM ({raw}) w JOIN e ON w.raw IS NOT DISTINCT FROM e.raw LEFT JOIN best ON e.name = best.name"
 
 
 STANDARD_SQL = """WITH c AS (SELECT lower(name) AS k, arg_max(name, line) AS canonical FROM ({canon}) GROUP BY 1), n AS (SELECT DISTINCT raw, {rule} AS name FROM ({raw})),
@@ -723,6 +749,27 @@ SCHOOL_RULE = "nullif(trim(raw), '')"
 SCHOOL_RULE = f"CASE WHEN lower({SCHOOL_RULE}) = 'u.b.c.' THEN 'University of British Columbia' WHEN {SCHOOL_RULE} IN ('McGiill University', 'Mcg') THEN 'Mcgill University' ELSE regexp_replace(coalesce({TITLE(SCHOOL_RULE)}, ''), '\\bOf\\b', 'of', 'g') END"
 
 
+BRANDS = "SELECT p_partkey, concat(p_name, CASE WHEN p_partkey % 5 = 0 THEN 's' ELSE '' END) AS raw FROM part"
+
+
+@query(standard_ratio(BRANDS, PROGRAM_RULE, 0.84))
+def standardise_names(spark, sf_dir):
+    """Rules, exact and fuzzy look-ups composed over the parts' names."""
+    return M.standardised(on(spark, sf_dir, BRANDS.replace("FROM part", "FROM {part}"), "part"), "raw", _canon(spark, sf_dir), "program").select("p_partkey", "raw", "standard")
+
+
+@query(standard_ratio(PROGRAMS, PROGRAM_RULE, 0.84))
+def standardise_programs_ratio(spark, sf_dir):
+    """The program pipeline with the Ratcliff-Obershelp score."""
+    return M.standardised(on(spark, sf_dir, PROGRAMS.replace("FROM part", "FROM {part}"), "part"), "raw", _canon(spark, sf_dir), "program").select("p_partkey", "raw", "standard")
+
+
+@query(standard_ratio(SCHOOLS, SCHOOL_RULE, 0.86))
+def standardise_universities_ratio(spark, sf_dir):
+    """The university pipeline with the Ratcliff-Obershelp score."""
+    return M.standardised(on(spark, sf_dir, SCHOOLS.replace("FROM part", "FROM {part}"), "part"), "raw", _canon(spark, sf_dir), "university").select("p_partkey", "raw", "standard")
+
+
 @query(STANDARD_SQL.format(canon=CANON, rule=PROGRAM_RULE, raw=PROGRAMS, cutoff=0.84))
 def standardise_programs(spark, sf_dir):
     """The program pipeline with the built-in score."""
