@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rillflow.operators import merge as U
 from rillflow.operators import validate as V
-from rillflow.schemas import ORIGINS, RESULTS
-from rillflow.sources.store import current, kept, publish
+from rillflow.schemas import ORIGINS, REQUIRED_COLUMNS, RESULTS
+from rillflow.sources.keyed import KeyedTable
+from rillflow.sources.store import kept
 
 
 @dataclass(frozen=True)
@@ -23,21 +24,28 @@ class Loaded:
     conflicts: DataFrame
 
 
-def load_results(spark: SparkSession, raw: DataFrame, store: str, seq: str, rules: V.Rules = V.Rules()) -> Loaded:
-    """Merges raw results, in the order of `seq`, into a versioned table. All of it appears, or nothing.
+def results_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The table of results: keyed by url, with the constraints of its columns."""
+    return KeyedTable(spark, path, RESULTS, "url", buckets, not_null=REQUIRED_COLUMNS, unique=("p_id",))
+
+
+def repaired(df: DataFrame) -> DataFrame:
+    """Values out of range become null, unknown origins Other."""
+    return V.repair_category(V.repair_ranges(df), "us_or_international", [*ORIGINS.values(), "Other"])
+
+
+def load_results(raw: DataFrame, table: KeyedTable, seq: str, rules: V.Rules = V.Rules(), marks: dict[str, int] | None = None) -> Loaded:
+    """Merges raw results, in the order of `seq`, into the table. All of it appears, or nothing.
 
     Rows that fail the checks and rows whose id another url holds are skipped; of several rows with one url the last value of each column
-    counts; values out of range are cleared and unknown categories become Other over the whole table.
+    counts; rows are repaired as they are merged, so every stored row is. Only the buckets of the rows' urls and ids are read and written.
     """
     checked = kept(V.converted(raw, rules))
-    rejected = V.rejects(checked)
-    held = current(spark, store)
-    old = spark.createDataFrame([], RESULTS) if held is None else held.select(*RESULTS.names)
     new = U.last_non_null(V.valid_rows(checked).select(*RESULTS.names, seq), "url", seq)
-    conflicts = kept(U.key_conflicts(old, new, "url", "p_id", seq))
-    merged = kept(U.upsert(old, new.join(conflicts, "url", "left_anti"), "url", fixed=("p_id",)))
-    clean = V.repair_category(V.repair_ranges(merged.drop("action")), "us_or_international", [*ORIGINS.values(), "Other"])
-    rows = publish(clean.select(*RESULTS.names), store)
-    skipped = rejected.select("reject_id").unionByName(conflicts.select(F.col("p_id").cast("string").alias("reject_id")))
-    summary = V.load_summary(merged, skipped).drop("skipped_ids")
-    return Loaded(rows, summary, rejected, conflicts)
+    done = table.merge(new, seq=seq, repaired=repaired, marks=marks)
+    rejected = V.rejects(checked)
+    none = table.spark.createDataFrame([], table.schema).withColumn("rule", F.lit(""))
+    conflicts = none if done.conflicts is None else done.conflicts
+    skipped = rejected.count() + conflicts.count()
+    summary = table.spark.createDataFrame([(done.inserted, done.updated, skipped)], "inserted long, updated long, skipped long")
+    return Loaded(done.version.rows, summary, rejected, conflicts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from rillflow.operators import names as M
 from rillflow.operators import validate as V
 from rillflow.operators import watermark as K
 from rillflow.plans import applicants as A
-from rillflow.plans.load import load_results
+from rillflow.plans.load import load_results, results_table
+from rillflow.plans.report_state import recomputing
 from rillflow.schemas import MARKS, RAW
 from rillflow.sources import results as S
+from rillflow.sources.keyed import KeyedTable, Violates
 from rillflow.sources.store import Shrinks, current, publish, shared_folder
 from rillflow.sources.tasks import message, message_stream, write_messages
 from rillflow.streaming import tasks as T
@@ -543,15 +546,14 @@ FROM applicants WHERE NOT (p_id % 53 = 0 OR p_id % 59 = 0 OR p_id % 61 = 0 OR p_
 
 def _two_loads(spark, sf_dir):
     """Even results with a first comment and GPA, then all results: values that are missing the second time stay."""
-    where, raw = shared_folder(spark), raw_results(spark, sf_dir)
-    load_results(spark, raw.filter("k % 2 = 0").withColumns({"comments": F.lit("first"), "GPA": F.lit("GPA 1.50")}), where, "k")
-    return where, load_results(spark, raw, where, "k")
+    results, raw = results_table(spark, shared_folder(spark), 16), raw_results(spark, sf_dir)
+    load_results(raw.filter("k % 2 = 0").withColumns({"comments": F.lit("first"), "GPA": F.lit("GPA 1.50")}), results, "k")
+    return results, load_results(raw, results, "k")
 
 
 @query(LOADED, True)
 def load_pipeline(spark, sf_dir):
-    where, _ = _two_loads(spark, sf_dir)
-    return current(spark, where)
+    return _two_loads(spark, sf_dir)[0].read()
 
 
 @query(
@@ -954,11 +956,12 @@ def stream_upsert(spark, sf_dir):
     where = shared_folder(spark)
     seq = F.col("o_orderkey") % 3 * 10_000_000_000 + F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_custkey", seq.alias("seq"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("s"))
+    merged = KeyedTable(spark, f"{where}/table", rows.schema, "o_custkey", 16)
     for n in range(3):
         rows.filter(F.floor(F.col("seq") / 10_000_000_000) == n).write.parquet(f"{where}/in/part={n}")
         stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in/part=*")
-        T.run_upserts(stream.select(*rows.columns), f"{where}/table", "o_custkey", "seq", ("seq",), f"{where}/checkpoint")
-    return T.last_version(spark, f"{where}/table", 3).select("o_custkey", "s", F.col("seq").alias("first_seq"))
+        T.run_upserts(stream.select(*rows.columns), merged, "seq", ("seq",), f"{where}/checkpoint")
+    return merged.read().select("o_custkey", "s", F.col("seq").alias("first_seq"))
 
 
 @query("SELECT CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'malformed' WHEN event_type = 'purchase' THEN 'failed: ValueError' ELSE 'unknown kind' END AS reason, count(*) AS n FROM events WHERE event_type <> 'click' OR event_id % 11 = 0 OR event_id % 13 = 0 GROUP BY 1")
@@ -984,13 +987,15 @@ FIRST_FEED, SECOND_FEED = "event_id < 2000 AND event_id % 2 = 0", "event_id BETW
 def stream_incremental(spark, sf_dir):
     """Three messages, each asking for a load of its feed: two above the mark, the last one from an id that it names."""
     where, events = shared_folder(spark), table(spark, sf_dir, "events").select("event_id", "user_id")
+    stored = KeyedTable(spark, f"{where}/store", events.schema, "event_id", 16)
+    load = T.incremental_loads(stored, spark.read.schema(events.schema).parquet, "feed", "user_id")
     for n, rows in enumerate((events.filter(FIRST_FEED), events.filter(SECOND_FEED), events)):
         rows.write.parquet(f"{where}/feed/{n}")
         payload = F.create_map(F.lit("path"), F.lit(f"{where}/feed/{n}"), *([F.lit("since"), F.lit("1000")] if n == 2 else []))
         one = spark.range(1).select(message(F.lit("scrape_new_data"), F.lit(f"2026-01-0{n + 1}T00:00:00"), payload).alias("value"))
         write_messages(one, f"{where}/in")
-        T.run_loads(message_stream(spark, f"{where}/in", 10), spark.read.schema(events.schema).parquet, f"{where}/store", "feed", "event_id", "user_id", f"{where}/checkpoint")
-    return spark.read.schema(events.schema).parquet(f"{where}/store/rows/*")
+        T.run_messages(message_stream(spark, f"{where}/in", 10), stored, {"scrape_new_data": load}, f"{where}/quarantine", f"{where}/checkpoint")
+    return stored.read()
 
 
 @query(ANSWERS_SQL, True)
@@ -999,11 +1004,60 @@ def stream_report(spark, sf_dir):
     where = shared_folder(spark)
     rows = A.applicants(spark, sf_dir).withColumn("seq", F.col("p_id").cast("long"))
 
-    def report(df: DataFrame, number: int) -> None:
-        A.report(df, ["Q1", "Q5", "Q9", "A1", "A2"], isolated=False).write.mode("overwrite").parquet(f"{where}/reports/batch={number}")
+    merged = KeyedTable(spark, f"{where}/table", rows.schema, "url", 16)
+
+    def report(held: KeyedTable, number: int) -> None:
+        A.report(held.read(), ["Q1", "Q5", "Q9", "A1", "A2"], isolated=False).write.mode("overwrite").parquet(f"{where}/reports/batch={number}")
 
     for n in range(2):
         rows.filter(F.col("p_id") % 2 == n).write.parquet(f"{where}/in/part={n}")
         stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in/part=*")
-        T.run_upserts(stream.select(*rows.columns), f"{where}/table", "url", "seq", ("p_id", "seq"), f"{where}/checkpoint", after=report)
+        T.run_upserts(stream.select(*rows.columns), merged, "seq", ("p_id", "seq"), f"{where}/checkpoint", after=report)
     return spark.read.schema("question string, answer string, error string").parquet(f"{where}/reports/batch=1")
+
+
+EARLY = "p_id <= 2000 AND p_id % 2 = 0"
+LEDGER_SQL = f"WITH everyone AS ({A.VIEW}), applicants AS (SELECT * FROM everyone WHERE ({EARLY}) OR p_id > (SELECT max(p_id) FROM everyone WHERE {EARLY})) "
+
+
+def _ledger(spark, sf_dir) -> tuple[KeyedTable, str]:
+    """Two loads and a report after each; among them a malformed message, an unknown kind, loads without a path, of a path that does not exist and
+    with a mark that is no number, and a repeated load."""
+    where, rows = shared_folder(spark), A.applicants(spark, sf_dir)
+    rows.filter(EARLY).write.parquet(f"{where}/feed/0")
+    rows.write.parquet(f"{where}/feed/1")
+    results = KeyedTable(spark, f"{where}/table", rows.schema, "p_id", 16)
+    read = spark.read.schema(rows.schema).parquet
+    handlers = {"scrape_new_data": T.incremental_loads(results, read, "seed", "date_added"), "recompute_analytics": recomputing(results, f"{where}/reports")}
+    load, first, second = "scrape_new_data", {"path": f"{where}/feed/0"}, {"path": f"{where}/feed/1"}
+    sent = [(load, first), ("recompute_analytics", {}), (load, {}), (load, {"path": f"{where}/none"}), (load, second | {"since": "abc"}), ("drop_everything", second), (load, second), (load, second), ("recompute_analytics", {})]
+    bodies = [json.dumps({"kind": k, "ts": f"2026-01-01T00:00:{n:02d}", "payload": p}) for n, (k, p) in enumerate(sent)] + ["not-json{{", "[1, 2]"]
+    write_messages(spark.createDataFrame([(b,) for b in bodies], "value string").coalesce(1), f"{where}/in")
+    T.run_messages(message_stream(spark, f"{where}/in", 10), results, handlers, f"{where}/quarantine", f"{where}/checkpoint")
+    return results, where
+
+
+@query(LEDGER_SQL + "SELECT p_id, url, status, gpa FROM applicants")
+def stream_ledger(spark, sf_dir):
+    """What messages have loaded: rows and marks of a message appear in one record, those of a failed one not at all."""
+    return _ledger(spark, sf_dir)[0].read().select("p_id", "url", "status", "gpa")
+
+
+@query(LEDGER_SQL + ANSWERS_SQL + OTHER_ANSWERS_SQL + A3_LINES_SQL)
+def report_recomputed(spark, sf_dir):
+    """The report that the last message asked for, made of the buckets' partial sums."""
+    reports = spark.read.parquet(f"{_ledger(spark, sf_dir)[1]}/reports")
+    return reports.filter(F.col("step") == reports.agg(F.max("step")).first()[0]).select("question", "answer", "error")
+
+
+@query("SELECT p_id, url FROM applicants WHERE p_id % 3 = 0 AND p_id % 2 = 0", True)
+def merge_refused(spark, sf_dir):
+    """The rows that refuse a merge: their ids are stored under other urls."""
+    rows = A.applicants(spark, sf_dir)
+    results = results_table(spark, shared_folder(spark), 16)
+    results.merge(rows.filter("p_id % 2 = 0").withColumn("url", F.concat("url", F.lit("/old"))))
+    try:
+        results.merge(rows.filter("p_id % 3 = 0"))
+    except Violates as e:
+        return e.rows.select("p_id", "url")
+    raise AssertionError("a row's id is stored under another url, and the merge went through")

@@ -9,11 +9,12 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-#: A raw result: all strings, absent keys are null.
+#: The keys of a raw result (all strings, absent keys are null).
 REQUIRED = ["program", "date added", "url", "status", "term", "US/International", "degree"]
 OPTIONAL = ["comments", "GPA", "GRE score", "GRE V score", "GRE AW", "llm-generated-program", "llm-generated-university"]
 RAW = _strings(*REQUIRED, *OPTIONAL)
 
+#: The columns of a stored result, and those that are never null.
 RESULTS = T.StructType(
     [
         T.StructField("p_id", T.IntegerType()),
@@ -30,6 +31,7 @@ RESULTS = T.StructType(
         T.StructField("llm_generated_university", T.StringType()),
     ]
 )
+REQUIRED_COLUMNS = ("p_id", "program", "date_added", "url", "status", "term", "us_or_international", "degree")
 MARKS = T.StructType([T.StructField("source", T.StringType()), T.StructField("last_seen", T.StringType()), T.StructField("updated_at", T.TimestampType())])
 TASK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("ts", T.StringType()), T.StructField("payload", T.MapType(T.StringType(), T.StringType()))])
 

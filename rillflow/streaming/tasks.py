@@ -1,19 +1,20 @@
-"""Task streams: decode, route by kind, quarantine the rest; incremental loads and merges for each micro-batch.
+"""Task streams: decode, route by kind, quarantine the rest; a ledger of messages; merges for each micro-batch.
 
-A batch writes its results under its number, so a batch that is repeated after a failure overwrites what it has written.
+What a batch does twice after a failure changes nothing: routed results are overwritten under the batch's number, merges carry the batch or the
+message in the marks of the table's record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.operators.merge import last_non_null, upsert
-from rillflow.operators.watermark import incremental
-from rillflow.schemas import MARKS, TASK
-from rillflow.sources.errors import FAILURES, MISSING, conditions
+from rillflow.operators.merge import last_non_null
+from rillflow.schemas import TASK
+from rillflow.sources.keyed import KeyedTable
+from rillflow.sources.store import kept
 
 
 def decoded(messages: DataFrame, column: str = "value") -> DataFrame:
@@ -51,62 +52,78 @@ def run_tasks(stream: DataFrame, kinds: dict[str, Callable[[DataFrame, int], Non
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_upserts(stream: DataFrame, table: str, key: str, seq: str, fixed: tuple[str, ...], checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Merges each batch into a versioned table: version n + 1 is version n and batch n, so a repeated batch changes nothing.
+def run_upserts(stream: DataFrame, table: KeyedTable, seq: str, fixed: tuple[str, ...], checkpoint: str, after: Callable[[KeyedTable, int], None] | None = None) -> None:
+    """Merges each batch into a keyed table: of one key's rows the last value of each column counts. A batch that is repeated after a failure
+    finds its number among the table's marks and merges nothing.
 
-    `after`, if given, gets each new version and the batch's number: here reports are made anew.
+    `after`, if given, gets the table and the batch's number: here reports are made anew.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        new = last_non_null(df, key, seq)
-        old = spark.read.schema(new.schema).parquet(f"{table}/v{number}") if number else spark.createDataFrame([], new.schema)
-        upsert(old, new, key, fixed).drop("action").write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        if table.version().marks.get("batch", -1) < number:
+            table.merge(last_non_null(df, table.key, seq), fixed, marks={"batch": number})
         if after is not None:
-            after(spark.read.schema(new.schema).parquet(f"{table}/v{number + 1}"), number)
+            after(table, number)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def last_version(spark: SparkSession, table: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v{batches}")
+Handler = Callable[[dict, dict], None]
+
+#: Steps are numbered by batch and place in it.
+MOST_MESSAGES = 1_000_000
 
 
-def run_loads(stream: DataFrame, read: Callable[[str], DataFrame], store: str, source: str, key: str, seq: str, checkpoint: str) -> None:
-    """Incremental loads asked for by messages: the payload names a path and may give `since`, else the source's mark counts.
+def handle_messages(messages: DataFrame, number: int, table: KeyedTable, handlers: dict[str, Handler], quarantine: str) -> None:
+    """Handles a batch's messages one by one in the order of their times; the table's records are the ledger.
 
-    A batch holds a few messages, which are handled in the order of their times: each adds rows under its own number, then the new state
-    table is written, so a message that is handled again writes the same.
+    A handler gets the payload and the marks to commit with what it merges, so that rows and the message's mark appear in one record. A message that fails,
+    of an unknown kind or malformed goes to quarantine (raw, reason), and nothing of it is visible. If the batch comes again after a crash, messages
+    whose step is marked are skipped. A batch holds the few messages of its files.
     """
+    for n, m in enumerate(decoded(messages).orderBy("ts", "raw").collect()):
+        step = number * MOST_MESSAGES + n
+        if table.version().marks.get("step", -1) >= step:
+            continue
+        reason = None
+        if m["kind"] is None:
+            reason = "malformed"
+        elif m["kind"] not in handlers:
+            reason = "unknown kind"
+        else:
+            try:
+                handlers[m["kind"]](m["payload"], {"step": step})
+            except Exception as e:  # noqa: BLE001  the message is dropped to quarantine, not retried
+                reason = f"failed: {type(e).__name__}"
+        if reason is not None:
+            table.spark.createDataFrame([(m["raw"], reason)], "raw string, reason string").coalesce(1).write.mode("overwrite").parquet(f"{quarantine}/step={step}")
+        if table.version().marks.get("step", -1) < step:
+            table.mark({"step": step})
+
+
+def run_messages(stream: DataFrame, table: KeyedTable, handlers: dict[str, Handler], quarantine: str, checkpoint: str) -> None:
+    """The stream's messages through handle_messages, batch by batch; a message that fails does not end the stream."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        asked = decoded(df).filter("kind is not null").orderBy("ts", "raw").select("payload").collect()
-        state = f"{store}/marks"
-        for n, r in enumerate(asked):
-            step = number * MOST_MESSAGES + n
-            done = _steps(spark, state, step)
-            marks = spark.read.schema(MARKS).parquet(f"{state}/step={done[-1]}") if done else spark.createDataFrame([], MARKS)
-            rows = read(r["payload"]["path"])
-            held = spark.read.schema(rows.schema).parquet(*[f"{store}/rows/step={k}" for k in done]) if done else spark.createDataFrame([], rows.schema)
-            since = r["payload"].get("since")
-            fresh, marks = incremental(held, rows, marks, source, key, seq, None if since is None else int(since))
-            fresh.write.mode("overwrite").parquet(f"{store}/rows/step={step}")
-            marks.write.mode("overwrite").parquet(f"{state}/step={step}")
+        handle_messages(df, number, table, handlers, quarantine)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-#: Steps are numbered by batch and place in it.
-MOST_MESSAGES = 1_000_000
+def incremental_loads(table: KeyedTable, read: Callable[[str], DataFrame], source: str, seq: str) -> Handler:
+    """A handler that loads the rows of a feed whose key is above the source's mark, or above `since` if the payload names it; stored keys stay as they are,
+    of new rows with one key the first in seq order counts, and the mark rises to the greatest key that was asked for."""
+    name = f"mark:{source}"
 
+    def load(payload: dict, marks: dict) -> None:
+        if not payload.get("path"):
+            raise ValueError("the payload names no path")
+        since = payload.get("since")
+        above = table.version().marks.get(name, -1) if since is None else int(since)
+        rows = kept(read(payload["path"]).filter(F.col(table.key) > above))
+        top = rows.agg(F.max(table.key)).first()[0]
+        rest = [c for c in table.schema.names if c != table.key]
+        first = rows.groupBy(table.key).agg(F.min_by(F.struct(*rest), seq).alias("r")).select(table.key, "r.*")
+        table.merge(first, ignore=True, marks=lambda held: marks | ({} if top is None else {name: max(held.marks.get(name, -1), int(top))}))
 
-def _steps(spark: SparkSession, state: str, before: int) -> list[int]:
-    """Numbers of the finished steps before one."""
-    try:
-        found = spark.read.schema(MARKS).parquet(state).select("step").distinct().collect()
-    except FAILURES as e:
-        if not conditions(e) & MISSING:
-            raise
-        return []
-    return sorted(r["step"] for r in found if r["step"] < before)
+    return load
