@@ -6,8 +6,9 @@ is links; headings and lines of an article or main element weigh SURGE at least.
 surges where a window reaches SURGE (or half of the page's greatest window, if that is less) and dives where a whole window weighs nothing. Edges
 of articles, and of parts left out between different containers, are a window of empty lines, so text dives there.
 
-Of the runs between surges and dives the heaviest is kept, with the other runs of its containers, or of all articles if it is one, in page
-order. What is kept is kept whole, links and short lines in it too.
+Of the runs between surges and dives the heaviest is kept, with the other runs and the short lines of the containers that surge in it, or with the runs of
+all articles if it is one, in page order. What is kept is kept whole, links and short lines in it too. A form or dialog that holds the article, or more than
+half of the page's text, is only a wrapper.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by an empty line. Defined cases: null or
 empty html, and pages without text, give an empty text; a page that is cut off ends where it ends (a tag cut in two
@@ -37,13 +38,13 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
 CONTAINERS = {"article", "main", "section", "div", "body", "td", "blockquote"}
+WRAPS = {"form", "dialog"}  # some pages stand in one as a whole
 EDGES = {"nav", "header", "footer", "aside"}  # these divide a page; other parts left out are holes in it
 #: Whole class, id and role names (with "-" for "_") of parts that are not main text, anywhere and outside articles.
-ANYWHERE = set("ad ads advert advertisement advertisements adsense adsbygoogle ad-banner ad-container ad-slot sponsored sponsored-content comments comment-list commentlist comments-area comment-section reader-comments respond disqus-thread".split())
+ANYWHERE = set("ad ads advert advertisement advertisements adsense adsbygoogle ad-banner ad-container ad-slot sponsored sponsored-content comments comment-list commentlist comments-area comment-section reader-comments disqus-thread".split())
 OUTSIDE = ANYWHERE | set(
-    "banner page-banner promo promotion popup modal overlay cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice alert alerts sidebar side-bar sidebar-left sidebar-right menu main-menu "
-    "nav navbar nav-bar navigation main-nav breadcrumb breadcrumbs comment reply replies discussion share sharing social social-links social-share related related-posts related-articles recommended recommendations newsletter subscribe subscription "
-    "signup login header site-header page-header masthead footer site-footer page-footer toolbar widget widgets pagination pager search search-form complementary contentinfo skip-link teaser teasers".split()
+    "banner page-banner promo promotion popup cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices site-notice sidebar side-bar sidebar-left sidebar-right menu main-menu "
+    "nav navbar nav-bar navigation main-nav breadcrumb breadcrumbs comment reply replies header site-header page-header masthead footer site-footer page-footer pagination pager complementary contentinfo skip-link".split()
 )
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -162,9 +163,11 @@ def lines_of(page: str) -> list[Line | Gap]:
     """Blocks of text in page order, with gaps where main text can begin or end."""
     page = page.replace("]]>", "") if "<![CDATA[" in page else page
     tags = tags_of(page)
-    closing, mains, resume = _closings(tags), [0], [len(tags)] * (len(tags) + 1)
-    for t in tags:
+    closing, mains, told, resume = _closings(tags), [0], [0], [len(tags)] * (len(tags) + 1)
+    for k, t in enumerate(tags):
         mains.append(mains[-1] + (t.name in MAIN and not t.closing))
+        told.append(told[-1] + len(page[tags[k - 1].end if k else 0 : t.start].strip()))
+    told.append(told[-1] + len(page[tags[-1].end if tags else 0 :].strip()))
     for i in range(len(tags) - 1, -1, -1):
         resume[i] = i if not tags[i].closing and (tags[i].name in MAIN or tags[i].name == "body") else resume[i + 1]
     lines: list[Line | Gap] = []
@@ -197,9 +200,10 @@ def lines_of(page: str) -> list[Line | Gap]:
             if t.alone:
                 continue
             end = closing[i - 1]
-            if end >= 0 and mains[end] > mains[i] and t.name not in NEVER and t.name not in MAIN:  # holds the article itself
-                close()
-                continue
+            if end >= 0 and t.name not in MAIN and (t.name not in NEVER or t.name in WRAPS):
+                if mains[end] > mains[i] or t.name in WRAPS and not inside and 2 * (told[end] - told[i]) > told[-1]:  # holds the article itself, or most of the page
+                    close()
+                    continue
             if t.name in BLOCKS or t.name in NEVER:
                 close()
             if t.name in EDGES and not inside:
@@ -270,9 +274,12 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if not runs:
         return ""
     best = max(runs, key=lambda r: sum(weight(x, 0) for x in r))
-    homes, main = {x.container for x in best}, any(x.main for x in best)
-    kept = [r for r in runs if r is best or (any(x.main for x in r) if main else any(x.container in homes for x in r))]
-    return "\n\n".join(x.text for r in kept for x in r)
+    if any(x.main for x in best):
+        return "\n\n".join(x.text for r in runs if any(y.main for y in r) for x in r)
+    # containers of the text that surges: their lines stay however short, but for those of links only that stand outside the runs
+    homes = {x.container for x in best if weight(x, surge) * window >= min(surge, greatest / 2)}
+    chosen = {id(x) for r in runs if r is best or any(x.container in homes for x in r) for x in r}
+    return "\n\n".join(x.text for x in spread if x is not None and (id(x) in chosen or x.container in homes and weight(x, surge)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

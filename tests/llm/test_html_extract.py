@@ -67,6 +67,13 @@ def test_the_distribution_chooses_the_text():
         ("<p>a &lt; b < c &amp; d", "a < b < c & d"),
         ("<script>if (a < b) '</p>'</SCRIPT >x<style>p{}", "x"),
         ("<p>x <![CDATA[y]]> z", "x y z"),
+        ("<form><article><p>Body.</p></article><input></form>", "Body."),
+        (f"<body><form action='/x'><div class='post'><p>{LONG * 3}</p></div><nav>Home</nav></form></body>", (LONG * 3).strip()),
+        (f"<form><p>Your name</p></form><div><p>{LONG * 3}</p></div>", (LONG * 3).strip()),
+        (f"<div><p>Hi all.</p><p>{LONG}</p></div>", f"Hi all.\n\n{LONG.strip()}"),
+        ("<div>" + "".join(f"<p>- Line {k}.</p>" for k in range(40)) + f"<p>{LONG}</p></div>", "\n\n".join([*(f"- Line {k}." for k in range(40)), LONG.strip()])),
+        (f"<div class='post'><section id='discussion'><h2>Discussion</h2><p>{LONG}</p></section><p class='alert'>Mind the gap.</p><div class='search'><p>We {LONG}</p></div></div>", f"Discussion\n\n{LONG.strip()}\n\nMind the gap.\n\nWe {LONG.strip()}"),
+        ("<article><p>a</p><section id='respond'><p>b</p></section></article>", "a\n\nb"),
         ("", ""),
         ("<", "<"),
         ("<!-- never closed <p>x", ""),
@@ -88,3 +95,24 @@ def test_nothing_but_listed_parts_is_dropped_from_articles():
     for html in table.column(0).to_pylist():
         inner = (html or "").partition("<article>")[2].partition("</article>")[0]
         assert main_text(html or "") == "\n\n".join(x.text for x in lines_of(inner) if not isinstance(x, Gap))
+
+
+def furnished(rng):
+    """A page of known text among furniture that the contract lists, with or without a wrapper, short lines first and in between."""
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(n))
+    post = [words(rng.randint(1, 4)) for _ in range(rng.randint(0, 4))] + [words(rng.randint(25, 60)) for _ in range(rng.randint(1, 4))]
+    rng.shuffle(post)
+    inside = [f"<p>{p}</p>" for p in post]
+    for part in rng.sample([f"<aside>{words(5)}</aside>", f"<form>{words(4)}<input></form>", f"<div class='ad'><p>{words(30)}</p></div>", "<script>x < y</script>", f"<div id='comments'><h2>{words(2)}</h2><p>{words(9)}</p></div>"], rng.randint(0, 3)):
+        inside.insert(rng.randint(0, len(inside)), part)
+    tag = rng.choice(["article", "main", "div class='post'"])
+    body = f"<header><h1>{words(3)}</h1></header><nav><a href='/'>{words(2)}</a></nav><{tag}>{''.join(inside)}</{tag.split()[0]}><footer>{words(6)}</footer>"
+    wrap = rng.choice(["{}", "<form>{}</form>", "<div id='page'>{}</div>"])
+    return f"<html><head><title>{words(4)}</title></head><body>{wrap.format(body)}</body></html>", post
+
+
+def test_known_articles_among_known_furniture():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, post = furnished(rng)
+        assert main_text(html) == "\n\n".join(post), html
