@@ -102,12 +102,12 @@ def part_edges(docs: DataFrame, id_col: str, n_bytes: int, part_bytes: int) -> l
     return sorted(found or [])
 
 
-def part_of(id_col: str, text_col: str, edges: list[int]) -> Column:
+def part_of(id_col: str, text_col: str, edges: list[int], nulls: int) -> Column:
     """Number of the range that an id falls into: log2 comparisons a row. An id that fills several parts is dealt to them by a hash
-    of the text, and so are null ids, to as many parts more."""
-    met = sorted(set(edges))
-    first = [edges.index(e) for e in met] + [len(edges)]
-    times = [edges.count(e) for e in met]
+    of the text, and so are null ids, to `nulls` parts more."""
+    met, first, times = np.unique(np.array(edges, np.int64), return_index=True, return_counts=True)
+    many = np.r_[times, 1]
+    met, first, times = met.tolist(), [*first.tolist(), len(edges)], times.tolist()
     salt = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
     def tree(lo: int, hi: int) -> Column:
@@ -120,7 +120,7 @@ def part_of(id_col: str, text_col: str, edges: list[int]) -> Column:
 
     n = len(edges) + 1
     if len(met) > 512:  # too many for one expression
-        upper, lows, many = np.array(met), np.array(first), np.array([*times, 1])
+        upper, lows = np.array(met), np.array(first)
 
         @F.pandas_udf("int")
         def found(x: pd.Series, s: pd.Series) -> pd.Series:
@@ -132,12 +132,21 @@ def part_of(id_col: str, text_col: str, edges: list[int]) -> Column:
         held = found(F.col(id_col).cast("long"), salt)
     else:
         held = tree(0, len(met))
-    return F.when(F.col(id_col).isNull(), F.lit(n) + F.pmod(salt, F.lit(n))).otherwise(held).cast("int")
+    return F.when(F.col(id_col).isNull(), F.lit(n) + F.pmod(salt, F.lit(max(1, nulls)))).otherwise(held).cast("int")
+
+
+#: Partitions of an exchange, at most; groups beyond that share partitions and are still worked on one by one.
+MOST_PARTITIONS = 100_000
+
+
+def dealt(df: DataFrame, groups: int, by: str) -> DataFrame:
+    """Rows by a number below `groups`, each in a partition of its own as long as there are not too many."""
+    return df.repartitionById(groups, by) if groups <= MOST_PARTITIONS else df.repartition(MOST_PARTITIONS, by)
 
 
 def parted(docs: DataFrame, id_col: str, text_col: str, part: Column, parts: int) -> DataFrame:
-    """Columns part (below `parts`), id, text, each part in a partition of its own: one shuffle of the text; equal plans reuse it."""
-    return docs.select(part.alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionById(parts, "part")
+    """Columns part (below `parts`), id, text, dealt by part: one shuffle of the text; equal plans reuse it."""
+    return dealt(docs.select(part.alias("part"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), parts, "part")
 
 
 def concat_binary(column: pa.Array, dtype) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import LOWER, as_bytes, batch_of, parted, slices_of, stored, text_bytes, word_lists
+from rillflow.llm.common import LOWER, as_bytes, batch_of, dealt, parted, slices_of, stored, text_bytes, word_lists
 
 DEPTH = 5
 END = b"\xff"  # never part of UTF-8
@@ -369,4 +369,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         else:
             ends = r[2]
     replies = told.filter("kind < 2").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_reply(depth, Top(n, pw)), "part int, bucket int, kind int, found binary")
-    return base.groupBy("part").cogroup(replies.repartitionById(parts, "part").groupBy("part")).applyInArrow(_score(depth, buckets, int(tokens), int(kinds), int(ends)), RESULT)
+    return base.groupBy("part").cogroup(dealt(replies, parts, "part").groupBy("part")).applyInArrow(_score(depth, buckets, int(tokens), int(kinds), int(ends)), RESULT)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import batch_of, no_cycles, part_edges, part_of, parted, stored, text_bytes
+from rillflow.llm.common import MOST_PARTITIONS, batch_of, dealt, no_cycles, part_edges, part_of, parted, stored, text_bytes
 
 SPAN, GRAM, PIECE_WINDOWS, HEAVY, BATCH_WINDOWS = 50, 24, 32, 64, 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -158,7 +158,8 @@ def _answer(t: pa.Table) -> pa.Table:
     n = np.diff(np.r_[at, len(s)])
     marks = np.bitwise_or.reduceat(every[order] & np.uint64(3), at)
     shared = (n > 1) | ((marks & np.uint64(1)) > 0)
-    keys, hot = s[at][shared], (marks[shared] >> np.uint64(1)).astype(np.uint64)
+    # hot: one batch has met it in very many places, or very many batches have it
+    keys, hot = s[at][shared], ((marks[shared] >> np.uint64(1)) | (n[shared] >= HEAVY)).astype(np.uint64)
     rows = []
     for part, blob in zip(parts, blobs):
         mine = np.searchsorted(keys, blob >> np.uint64(2))
@@ -393,14 +394,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_bytes = text_bytes(docs, text_col)
     edges = part_edges(docs, id_col, n_bytes, part_bytes)
     batches = len(edges) + 1
-    parts = 2 * batches  # the second half holds rows with null ids
-    # A minimizer is new about every (window + 1) / 2 bytes; 2^22 buckets are what the hash's upper bits tell apart.
-    buckets = min(1 << 22, max(1, math.ceil(n_bytes * 2 / (SPAN - GRAM + 2) / bucket_hashes)))
-    base = parted(docs, id_col, text_col, part_of(id_col, text_col, edges), parts)
+    nulls = math.ceil(text_bytes(docs.filter(F.col(id_col).isNull()), text_col) / part_bytes)
+    parts = batches + max(1, nulls)  # the last ones hold rows with null ids
+    # A minimizer is new about every (window + 1) / 2 bytes; the hash's upper 24 bits tell that many buckets apart, enough for 137 TB.
+    buckets = min(1 << 24, max(1, math.ceil(n_bytes * 2 / (SPAN - GRAM + 2) / bucket_hashes)))
+    base = parted(docs, id_col, text_col, part_of(id_col, text_col, edges, nulls), parts)
     told = base.groupBy("part").applyInArrow(_announce(buckets, batches), "bucket int, part int, hashes binary")
-    answers = stored(told.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "part int, bucket int, hashes binary"), "none")
-    sent = base.groupBy("part").cogroup(answers.repartitionById(parts, "part").groupBy("part")).applyInArrow(_send(buckets, batches), "bucket int, part int, text binary, windows binary, number binary, owner binary")
-    masks = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_scan_bucket, "part int, number binary, mask binary")
+    answers = stored(told.repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_answer, "part int, bucket int, hashes binary"), "none")
+    sent = base.groupBy("part").cogroup(dealt(answers, parts, "part").groupBy("part")).applyInArrow(_send(buckets, batches), "bucket int, part int, text binary, windows binary, number binary, owner binary")
+    masks = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_scan_bucket, "part int, number binary, mask binary")
     none = F.lit(None).cast("binary")
     replies = answers.select("part", "bucket", "hashes", none.alias("number"), none.alias("mask")).unionByName(masks.select("part", F.lit(None).cast("int").alias("bucket"), none.alias("hashes"), "number", "mask"))
-    return base.groupBy("part").cogroup(replies.repartitionById(parts, "part").groupBy("part")).applyInArrow(_remove(buckets, batches, with_text), RESULT + (", kept binary" if with_text else ""))
+    return base.groupBy("part").cogroup(dealt(replies, parts, "part").groupBy("part")).applyInArrow(_remove(buckets, batches, with_text), RESULT + (", kept binary" if with_text else ""))

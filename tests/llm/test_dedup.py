@@ -128,7 +128,7 @@ def test_suffix_dedup_with_hot_ids(spark):
     docs += [(k + 20, shared[k % 6]) for k in range(12)]
     edges = part_edges(frame(spark, docs), "doc_id", sum(len(t) for _, t in docs), 700)
     assert len(edges) > len(set(edges)) > 2
-    placed = frame(spark, docs).select("doc_id", part_of("doc_id", "text", edges).alias("part")).distinct().collect()
+    placed = frame(spark, docs).select("doc_id", part_of("doc_id", "text", edges, len(edges) + 1).alias("part")).distinct().collect()
     assert len({r["part"] for r in placed if r["doc_id"] == 7}) > 3 < len({r["part"] for r in placed if r["doc_id"] is None})
     for small, large in ((3, 7), (7, 9), (9, 20)):  # parts follow the ids, but that neighbours may share one
         assert max(r["part"] for r in placed if r["doc_id"] == small) <= min(r["part"] for r in placed if r["doc_id"] == large)
@@ -139,7 +139,7 @@ def test_parts_of_many_edges(spark):
     docs = [(k // 2 if k % 9 else 40, f"text {k}") for k in range(3000)] + [(None, f"t{k}") for k in range(50)]
     df = frame(spark, docs)
     edges = sorted([k // 2 for k in range(0, 2400, 2)] + [40] * 30)
-    many = {(r["doc_id"], r["text"]): r["part"] for r in df.select("doc_id", "text", part_of("doc_id", "text", edges).alias("part")).collect()}
+    many = {(r["doc_id"], r["text"]): r["part"] for r in df.select("doc_id", "text", part_of("doc_id", "text", edges, len(edges) + 1).alias("part")).collect()}
     for (i, _), p in many.items():
         if i is None:
             assert len(edges) < p <= 2 * len(edges) + 1
@@ -165,3 +165,24 @@ def test_suffix_array_sorts_windows():
     order, same = X.suffix_array(text, starts)
     w = [text[s : s + X.SPAN].tobytes() for s in starts[order]]
     assert w == sorted(w) and same.tolist() == [False] + [a == b for a, b in zip(w, w[1:])]
+
+
+def test_a_million_edges_take_a_second(spark):
+    import time
+
+    edges = [k // 2 for k in range(1_000_000)]
+    began = time.time()
+    part_of("doc_id", "text", edges, 3)
+    assert time.time() - began < 2
+
+
+def test_a_minimizer_of_very_many_batches_is_hot():
+    """Each of 500 batches has it once: none would call it hot, the bucket does."""
+    import pyarrow as pa
+
+    from rillflow.llm import suffix_dedup as S
+
+    value = lambda *keys: b"".join((k << 2).to_bytes(6, "little") for k in keys)
+    told = pa.table({"bucket": pa.array([3] * 500, pa.int32()), "part": pa.array(range(500), pa.int32()), "hashes": [value(7, 100 + k, 9000) if k < 2 else value(7, 100 + k) for k in range(500)]})
+    got = {r["part"]: S._unpack(r["hashes"]).tolist() for r in S._answer(told).to_pylist()}
+    assert len(got) == 500 and got[0] == [(7 << 2) | 1, 9000 << 2] and got[499] == [(7 << 2) | 1]
