@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillflow.functions.tables import parsed
 from rillflow.functions.text import null_if_empty
 
 #: The class of detail rows, and patterns of the tags in them.
@@ -34,56 +35,55 @@ def decoded(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def rows_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, pos, tr): all table rows of each page in order."""
-    found = F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))).alias("pos", "tr")
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), found)
+_CELL = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.string())), ("href", pa.string())])
+_ROWS = pa.list_(pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL)), ("divs", pa.list_(pa.string())), ("text", pa.string())]))
+ROWS = "array<struct<cls:string,cells:array<struct<text:string,spans:array<string>,href:string>>,divs:array<string>,text:string>>"
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """rows plus island and nth: a row without class starts an island and detail rows after it belong to it; other rows end it and go.
+def rows_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, rows): all table rows of each page in order. No shuffle."""
 
-    Windows are over the rows of one page.
-    """
-    cls = F.regexp_extract("tr", r"(?is)^<tr\b[^>]*?\sclass\s*=\s*[\"']?([^\"'>]*)", 1)
-    has_class = F.col("tr").rlike(r"(?is)^<tr\b[^>]*?\sclass\s*=")
-    detail = F.array_contains(F.split(cls, r"\s+"), DETAIL_CLASS)
-    page = W.partitionBy("page_id").orderBy("pos")
-    isl = rows.withColumns({"main": ~has_class, "detail": detail}).withColumn("island", F.sum(F.when(F.col("detail"), 0).otherwise(1)).over(page))
-    return isl.withColumn("nth", F.row_number().over(W.partitionBy("page_id", "island").orderBy("pos")) - 1).withColumn("headed", F.max(F.col("main").cast("int")).over(W.partitionBy("page_id", "island"))).filter("headed = 1").drop("headed", "main", "detail")
+    def read(batches):
+        for b in batches:
+            rows = pa.array([parsed(h or "") for h in b.column(2).to_pylist()], _ROWS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["page_id", "url", "rows"])
 
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(id_col, url_col, html_col).mapInArrow(read, f"page_id {kind}, url string, rows {ROWS}")
 
-def _cells(c: Column, element: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"(?is)<{element}\b[^>]*>(.*?)</{element}>"), F.lit(1))
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(page_id, url, pos, head, tags, note, n_details): a row without class begins a record and detail rows after it belong to it; other
+    rows end it and go. Within the page's array: rows that are no details are numbered, and what lies up to the next one are details."""
+    detail = lambda r: F.coalesce(F.array_contains(F.split(r["cls"], r"\s+"), DETAIL_CLASS), F.lit(False))
+    ends = F.filter(F.transform("rows", lambda r, i: F.when(~detail(r), i)), lambda i: i.isNotNull())
+    marked = rows.withColumn("ends", F.concat(ends, F.array(F.size("rows"))))
+    at = lambda i: F.get("rows", i)
+    made = F.transform(
+        F.slice("ends", F.lit(1), F.size("ends") - 1),
+        lambda i, k: F.struct(i.alias("pos"), at(i).alias("head"), F.when(F.get("ends", k + 1) > i + 1, at(i + 1)).alias("tags"), F.when(F.get("ends", k + 1) > i + 2, at(i + 2)).alias("note"), (F.get("ends", k + 1) - i - 1).alias("n_details")),
+    )
+    return marked.select("page_id", "url", F.inline(F.filter(made, lambda x: x["head"]["cls"].isNull())))
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One record for each main row, and n_details; rows without details are rejects (n_details = 0)."""
-    g = grouped(rows_of(pages, id_col, url_col, html_col))
-    r = g.groupBy("page_id", "url", "island").agg(
-        F.max(F.when(F.col("nth") == 0, F.col("tr"))).alias("head"),
-        F.max(F.when(F.col("nth") == 1, F.col("tr"))).alias("tags"),
-        F.max(F.when(F.col("nth") == 2, F.col("tr"))).alias("note"),
-        (F.max("nth")).alias("n_details"),
-        F.min("pos").alias("pos"),
-    )
-    td, span = _cells(F.col("head"), "td"), _cells(F.get(_cells(F.col("head"), "td"), F.lit(1)), "span")
-    cell = lambda i: decoded(F.get(td, F.lit(i)))
-    status_text = cell(3)
+    """One record for each main row, and n_details; rows without details are rejects (n_details = 0). No shuffle."""
+    r = grouped(rows_of(pages, id_col, url_col, html_col))
+    cell = lambda i: F.get(F.col("head.cells"), F.lit(i))
+    status_text = cell(3)["text"]
     status, decision = tag(status_text, "status"), tag(status_text, "decision date")
     status = F.when(status.isin("Accepted", "Rejected") & decision.isNotNull(), F.concat(status, F.lit(" on "), decision)).otherwise(status)
-    link = F.regexp_extract(F.get(td, F.lit(4)), r"(?is)href\s*=\s*[\"']([^\"']*)", 1)
     # The tags are the innermost div elements of the first detail row.
-    raw = F.regexp_extract_all(F.coalesce("tags", F.lit("")), F.lit(r"(?is)<div\b[^>]*>([^<]*)</div>"), F.lit(1))
-    tags = F.filter(F.transform(raw, decoded), lambda x: (x != "") & ~x.rlike(TAGS["status"]))
+    tags = F.filter(F.coalesce(F.col("tags.divs"), F.array().cast("array<string>")), lambda x: (x != "") & ~x.rlike(TAGS["status"]))
     last = lambda name: null_if_empty(F.regexp_extract(F.coalesce(F.try_element_at(F.filter(tags, lambda x: x.rlike(TAGS[name])), F.lit(-1)), F.lit("")), TAGS[name], 0))
+    span = lambda i: F.coalesce(F.get(cell(1)["spans"], F.lit(i)), F.lit(""))
     return r.select(
         "page_id",
         "pos",
-        F.concat(decoded(F.get(span, F.lit(0))), F.lit(", "), cell(0)).alias("program"),
-        F.when(F.col("n_details") == 2, decoded(F.col("note"))).alias("comments"),
-        cell(2).alias("date_added"),
-        absolute(link, F.col("url")).alias("url"),
+        F.concat(span(0), F.lit(", "), cell(0)["text"]).alias("program"),
+        F.when(F.col("n_details") == 2, F.col("note.text")).alias("comments"),
+        cell(2)["text"].alias("date_added"),
+        absolute(F.coalesce(cell(4)["href"], F.lit("")), F.col("url")).alias("url"),
         status.alias("status"),
         F.get(tags, F.lit(0)).alias("term"),
         F.get(tags, F.lit(1)).alias("us_or_international"),
@@ -91,7 +91,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         last("GRE score").alias("gre"),
         last("GRE V score").alias("gre_v"),
         last("GRE AW").alias("gre_aw"),
-        F.coalesce(tag(decoded(F.get(span, F.lit(1))), "degree"), F.lit("Masters")).alias("degree"),
+        F.coalesce(tag(span(1), "degree"), F.lit("Masters")).alias("degree"),
         "n_details",
     )
 

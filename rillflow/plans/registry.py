@@ -25,6 +25,7 @@ from rillflow.sources.keyed import KeyedTable, Violates
 from rillflow.sources.store import Shrinks, current, publish, shared_folder
 from rillflow.sources.tasks import message, message_stream, write_messages
 from rillflow.streaming import tasks as T
+from rillflow.streaming.feed import run_feed, seen_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -826,7 +827,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     school, program = X.last_segment("program"), F.regexp_extract("program", r"^([^,]*), ", 1)
     main = F.concat(F.lit("<tr>"), td(F.lit("<div>"), school, F.lit("</div>")), td(F.lit("<span>"), program, F.lit("</span> <span>"), F.when(F.col("degree") == "Masters", "MS").otherwise(F.col("degree")), F.lit("</span>")), td(F.date_format("date_added", "MMM dd, yyyy")), td(F.col("status")), td(F.lit('<a href="/result/'), k.cast("string"), F.lit('">see</a>')), F.lit("</tr>"))
     gpa = F.concat(F.lit("GPA "), F.format_string("%.2f", "gpa"))
-    tags = F.concat(F.lit('<tr class="tw-border-none"><td><div><div>'), F.col("term"), F.lit("</div>"), div(F.col("us_or_international")), div(F.when(k % 2 == 0, F.col("status"))), div(F.when(F.col("gpa").isNotNull(), gpa)), div(F.concat(F.lit("GRE V "), F.col("gre_v").cast("int").cast("string"))), div(F.concat(F.lit("GRE "), F.col("gre").cast("int").cast("string"))), F.lit("</div></td></tr>"))
+    tags = F.concat(F.lit('<tr class="tw-border-none"><td><div><div>'), F.col("term"), F.lit("</div>"), div(F.col("us_or_international")), div(F.when(k % 2 == 0, F.col("status"))), div(F.when(F.col("gpa").isNotNull(), gpa)), div(F.concat(F.lit("GRE V "), F.col("gre_v").cast("int").cast("string"))), div(F.concat(F.lit("GRE "), F.col("gre").cast("int").cast("string"))), div(F.concat(F.lit("GRE AW "), F.format_string("%.1f", "gre_aw"))), F.lit("</div></td></tr>"))
     note = F.when(k % 3 == 0, F.concat(F.lit('<tr class="tw-border-none"><td><p>Tom &amp; '), k.cast("string"), F.lit("</p></td></tr>"))).otherwise("")
     one = F.concat(main, F.when(k % 17 == 0, "").otherwise(F.concat(tags, note)))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, one.alias("html")))), lambda x: x["html"]), "\n")
@@ -836,23 +837,23 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""SELECT p_id // 10 AS page_id, program, CASE WHEN p_id % 3 = 0 AND p_id % 17 <> 0 THEN concat('Tom & ', p_id) END AS comments, strftime(date_added, '%b %d, %Y') AS date_added, concat('https://example.org/result/', p_id) AS url, status,
   CASE WHEN p_id % 17 <> 0 THEN term END AS term, CASE WHEN p_id % 17 <> 0 THEN us_or_international END AS us_or_international, CASE WHEN p_id % 17 <> 0 THEN concat('GPA ', printf('%.2f', gpa)) END AS gpa,
-  CASE WHEN p_id % 17 <> 0 THEN 'GRE ' || CAST(gre AS INT) END AS gre, CASE WHEN p_id % 17 <> 0 THEN 'GRE V ' || CAST(gre_v AS INT) END AS gre_v, degree,
+  CASE WHEN p_id % 17 <> 0 THEN 'GRE ' || CAST(gre AS INT) END AS gre, CASE WHEN p_id % 17 <> 0 THEN 'GRE V ' || CAST(gre_v AS INT) END AS gre_v, CASE WHEN p_id % 17 <> 0 THEN 'GRE AW ' || printf('%.1f', gre_aw) END AS gre_aw, degree,
   CASE WHEN p_id % 17 = 0 THEN 0 WHEN p_id % 3 = 0 THEN 2 ELSE 1 END AS n_details FROM applicants""".replace("concat('GPA ', printf('%.2f', gpa))", "'GPA ' || printf('%.2f', gpa)"),
     True,
 )
 def html_rows_grouped(spark, sf_dir):
-    return H.records(result_pages(spark, sf_dir)).drop("pos", "gre_aw")
+    return H.records(result_pages(spark, sf_dir)).drop("pos")
 
 
 @query(
-    """SELECT p_id, program, CASE WHEN p_id % 3 = 0 THEN concat('Tom & ', p_id) END AS comments, date_added, url, status, term, us_or_international, gpa, gre, gre_v, degree
+    """SELECT p_id, program, CASE WHEN p_id % 3 = 0 THEN concat('Tom & ', p_id) END AS comments, date_added, url, status, term, us_or_international, gpa, gre, gre_v, gre_aw, degree
 FROM applicants WHERE p_id % 17 <> 0 AND term IS NOT NULL""",
     True,
 )
 def pages_to_results(spark, sf_dir):
     """Result pages read, and their records checked and converted like raw results."""
     checked = V.converted(H.raw_records(result_pages(spark, sf_dir)))
-    return V.valid_rows(checked).select("p_id", "program", "comments", "date_added", "url", "status", "term", "us_or_international", "gpa", "gre", "gre_v", "degree")
+    return V.valid_rows(checked).select("p_id", "program", "comments", "date_added", "url", "status", "term", "us_or_international", "gpa", "gre", "gre_v", "gre_aw", "degree")
 
 
 DECODE = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))".format
@@ -899,6 +900,21 @@ def feed_totals(spark, sf_dir):
     return C.pages(flagged, seen.count())
 
 
+@query(f"SELECT *, (SELECT min(page_no) FROM ({STREAKS}) WHERE streak >= 40) AS stop_page FROM ({STREAKS}) JOIN ({UNIQUES}) USING (page_no)")
+def stream_feed(spark, sf_dir):
+    """The feed in three micro-batches, cut in the middle of streaks: totals, streaks and seen urls go on from batch to batch."""
+    where = shared_folder(spark)
+    f, s = (on(spark, sf_dir, q.replace("FROM events", "FROM {events}"), "events") for q in (FEED, SEEN))
+    seen = seen_urls(spark, f"{where}/seen", 16)
+    seen.merge(s.select("url", F.lit(None).cast("long").alias("page_no")))
+    last = f.agg(F.max("page_no")).first()[0]
+    for n in range(3):
+        f.filter(F.floor(F.col("page_no") * 3 / F.lit(last + 1)) == n).write.parquet(f"{where}/in/part={n}")
+        run_feed(spark.readStream.schema(f.schema).parquet(f"{where}/in/part=*").select(*f.columns), seen, f"{where}/pages", f"{where}/checkpoint", limit=40)
+    per = spark.read.parquet(f"{where}/pages").drop("batch")
+    return per.withColumn("stop_page", F.lit(seen.version().marks.get("stop")).cast("long"))
+
+
 @query(f"SELECT page_no, pos FROM ({FEED}) WHERE page_no <= coalesce((SELECT min(page_no) FROM ({STREAKS}) WHERE streak >= 40), 1000000000)")
 def feed_streak_cut(spark, sf_dir):
     flagged, _ = _feed(spark, sf_dir)

@@ -98,3 +98,25 @@ def test_reports_scan_the_changed_buckets_only(spark, tmp_path):
     assert [tuple(r) for r in R.report(table).collect()] == [tuple(r) for r in A.report(table.read()).collect()]
     added = set(os.listdir(tmp_path / "t" / "state")) - states
     assert added == {got.version.folders[ROWS][b] for b in got.touched} and len(got.touched) == 1
+
+
+def test_a_feed_in_pieces_goes_on_where_it_ended(spark, tmp_path):
+    """Any cut into micro-batches, one of them handled twice, gives the totals and the stop page of the whole feed."""
+    from rillflow.operators import feed as C
+    from rillflow.streaming.feed import feed_batch, seen_urls
+
+    rows = [(p, q, None if (p * 5 + q) % 13 == 0 else f"u{(p * 5 + q) * 7 % 31}") for p in range(18) for q in range(5)]
+    feed = spark.createDataFrame(rows, "page_no long, pos int, url string")
+    known = spark.createDataFrame([(f"u{k}", None) for k in range(0, 31, 3)], "url string, page_no long")
+    per = C.pages(C.flagged_new(feed, known), known.count())
+    want = sorted(tuple(r) for r in per.collect())
+    stop = min(r[0] for r in want if r[3] >= 6)
+    for name, cuts in (("a", (0, 7, 8, 18)), ("b", (0, 18)), ("c", (0, 12, 12, 18))):
+        seen = seen_urls(spark, f"{tmp_path}/{name}", 4)
+        seen.merge(known)
+        for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            for _ in range(1 + (n == 1)):
+                feed_batch(feed.filter(f"page_no >= {lo} and page_no < {hi}"), n, seen, f"{tmp_path}/{name}/pages", limit=6)
+        got = spark.read.parquet(f"{tmp_path}/{name}/pages").select(*per.columns)
+        assert sorted(tuple(r) for r in got.collect()) == want and seen.version().marks["stop"] == stop
+        assert seen.version().rows == max(r[6] for r in want)
