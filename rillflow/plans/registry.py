@@ -19,6 +19,7 @@ from rillflow.operators import watermark as K
 from rillflow.plans import applicants as A
 from rillflow.plans.load import load_results, results_table
 from rillflow.plans.report_state import recomputing
+from rillflow.plans.search import a3_indexed as school_search
 from rillflow.schemas import MARKS, RAW
 from rillflow.sources import results as S
 from rillflow.sources.keyed import KeyedTable, Violates
@@ -1077,3 +1078,11 @@ def merge_refused(spark, sf_dir):
     except Violates as e:
         return e.rows.select("p_id", "url")
     raise AssertionError("a row's id is stored under another url, and the merge went through")
+
+
+@query(A3_SQL, True)
+def a3_indexed(spark, sf_dir):
+    """The school search over a stored table, by its index of trigrams."""
+    results = results_table(spark, shared_folder(spark), 16)
+    results.merge(A.applicants(spark, sf_dir))
+    return school_search(results)
