@@ -17,16 +17,24 @@ VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 CLASS, HREF = (re.compile(rf"(?:^|[\s\"'/]){name}(?:{VALUE}|(?=[\s/]|$))", re.I) for name in ("class", "href"))
 SILENT = {"script", "style"}
 CELLS = {"td", "th"}
+ENDS = {"/tr", "/td", "/th", "/table", "/div", "/span"}
+
+
+@dataclass
+class Cell:
+    text: str = ""
+    spans: list[str] = field(default_factory=list)
+    href: str | None = None
 
 
 @dataclass
 class Row:
-    """cls: value of the class attribute, None without one; cells: (text, texts of its spans, target of its first link); divs: texts of innermost div elements."""
+    """cls: value of the class attribute, None without one; divs: texts of innermost div elements."""
 
     cls: str | None
-    cells: list[tuple[list[str], list[list[str]], list[str]]] = field(default_factory=list)
+    cells: list[Cell] = field(default_factory=list)
     divs: list[str] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
+    text: str = ""
 
 
 def collapsed(parts: list[str]) -> str:
@@ -71,25 +79,37 @@ def _tokens(page: str):
 
 
 class _Open:
-    """An open element: its name, the row or cell that it began, and the text of it (divs and spans)."""
+    """An open element: where its text begins, what it belongs to, and for a span its place in the cell, for a div whether another stands in it."""
 
-    __slots__ = ("name", "row", "cell", "text", "divided")
+    __slots__ = ("name", "start", "owner", "place", "divided")
 
-    def __init__(self, name, row=None, cell=None, text=None):
-        self.name, self.row, self.cell, self.text, self.divided = name, row, cell, text, False
+    def __init__(self, name: str, start: int, owner: Row | Cell | None = None, place: int = -1):
+        self.name, self.start, self.owner, self.place, self.divided = name, start, owner, place, False
 
 
 def table_rows(page: str) -> list[Row]:
     """All rows in the order in which they begin."""
     found: list[Row] = []
     open_: list[_Open] = []
+    rows: list[Row] = []  # the open ones, as the next two
+    cells: list[Cell] = []
+    divs: list[_Open] = []
+    parts: list[str] = []
 
     def shut(upto: int) -> None:
         """Ends all elements from a place of the stack on, the innermost first."""
         while len(open_) > upto:
             x = open_.pop()
-            if x.name == "div" and not x.divided and x.row is not None:
-                x.row.divs.append(collapsed(x.text))
+            if x.name == "tr":
+                rows.pop().text = collapsed(parts[x.start :])
+            elif x.name in CELLS:
+                cells.pop().text = collapsed(parts[x.start :])
+            elif x.name == "span" and x.place >= 0:
+                x.owner.spans[x.place] = collapsed(parts[x.start :])
+            elif x.name == "div":
+                divs.pop()
+                if not x.divided:
+                    x.owner.divs.append(collapsed(parts[x.start :]))
 
     def within(names: set[str], stop: str) -> int | None:
         """Place of the innermost open element of these names that no `stop` element lies above."""
@@ -102,44 +122,38 @@ def table_rows(page: str) -> list[Row]:
 
     for text, tag, attributes in _tokens(page):
         if tag is None:
-            tag, piece = "", text
-        else:
-            piece = " "  # a tag parts words
-        for x in open_:
-            if x.name == "tr":
-                x.row.text.append(piece)
-            elif x.cell is not None and x.name in CELLS:
-                x.cell[0].append(piece)
-            elif x.text is not None:
-                x.text.append(piece)
-        row = next((x.row for x in reversed(open_) if x.name == "tr"), None)
+            parts.append(text)
+            continue
+        parts.append(" ")  # a tag parts words
         if tag == "tr" or tag in CELLS:
             k = within({"tr"} if tag == "tr" else CELLS, "table")
             if k is not None:
                 shut(k)
-            row = next((x.row for x in reversed(open_) if x.name == "tr"), None)
             if tag == "tr":
                 found.append(Row(_attribute(CLASS, attributes)))
-                open_.append(_Open("tr", row=found[-1]))
-            elif row is not None:
-                row.cells.append(([], [], []))
-                open_.append(_Open(tag, cell=row.cells[-1]))
+                rows.append(found[-1])
+                open_.append(_Open("tr", len(parts)))
+            elif rows:
+                cells.append(Cell())
+                rows[-1].cells.append(cells[-1])
+                open_.append(_Open(tag, len(parts)))
         elif tag == "table":
-            open_.append(_Open(tag))
-        elif tag in ("div", "span") and row is not None and not attributes.rstrip().endswith("/"):
-            cell = next((x.cell for x in reversed(open_) if x.name in CELLS), None)
-            for x in open_:
-                if tag == "div" and x.name == "div":
-                    x.divided = True
-            open_.append(_Open(tag, row=row, text=[]))
-            if tag == "span" and cell is not None:
-                cell[1].append(open_[-1].text)
+            open_.append(_Open(tag, len(parts)))
+        elif tag == "div" and rows:
+            if divs:
+                divs[-1].divided = True
+            divs.append(_Open(tag, len(parts), rows[-1]))
+            open_.append(divs[-1])
+        elif tag == "span" and rows:
+            place = -1
+            if cells:
+                place = len(cells[-1].spans)
+                cells[-1].spans.append("")
+            open_.append(_Open(tag, len(parts), cells[-1] if cells else None, place))
         elif tag == "a":
-            cell = next((x.cell for x in reversed(open_) if x.name in CELLS), None)
-            href = _attribute(HREF, attributes)
-            if cell is not None and href is not None:
-                cell[2].append(href)
-        elif tag in ("/tr", "/td", "/th", "/table", "/div", "/span"):
+            if cells and cells[-1].href is None:
+                cells[-1].href = _attribute(HREF, attributes)
+        elif tag in ENDS:
             k = within({tag[1:]}, "" if tag == "/table" else "table")
             if k is not None:
                 shut(k)
@@ -149,7 +163,4 @@ def table_rows(page: str) -> list[Row]:
 
 def parsed(page: str) -> list[dict]:
     """table_rows as plain values: cls, cells (text, spans, href), divs, text."""
-    return [
-        {"cls": r.cls, "cells": [{"text": collapsed(t), "spans": [collapsed(s) for s in spans], "href": next(iter(links), None)} for t, spans, links in r.cells], "divs": r.divs, "text": collapsed(r.text)}
-        for r in table_rows(page)
-    ]
+    return [{"cls": r.cls, "cells": [{"text": c.text, "spans": c.spans, "href": c.href} for c in r.cells], "divs": r.divs, "text": r.text} for r in table_rows(page)]

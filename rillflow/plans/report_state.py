@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from rillflow.functions import numbers as N
 from rillflow.functions import text as X
 from rillflow.plans import applicants as A
-from rillflow.sources.errors import FAILURES, MISSING, conditions
 from rillflow.sources.keyed import ROWS, KeyedTable
+from rillflow.sources.store import exists
 
 SCORES = ("gpa", "gre", "gre_v", "gre_aw")
 SHOWN = ["date_added", "p_id", "program", "degree", "term", "status", "gpa"]
@@ -51,12 +51,8 @@ def partials() -> dict[str, Column]:
 def _made(table: KeyedTable, folder: str) -> None:
     """The state of a folder, if it is not there yet."""
     spark, to = table.spark, f"{table.path}/state/{folder}"
-    try:
-        spark.read.parquet(f"{to}/newest")  # written last
+    if exists(spark, f"{to}/newest"):  # written last
         return
-    except FAILURES as e:
-        if not conditions(e) & MISSING:
-            raise
     rows = spark.read.schema(T.StructType([*table.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{table.path}/data/{folder}")
     rows.groupBy("bucket").agg(*[c.alias(k) for k, c in partials().items()]).coalesce(1).write.mode("overwrite").parquet(f"{to}/sums")
     accepted = rows.filter(F.col("status").ilike(A.ACCEPTED))

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from rillflow.functions import text as X
 from rillflow.plans import applicants as A
-from rillflow.sources.errors import FAILURES, MISSING, conditions
 from rillflow.sources.keyed import ROWS, KeyedTable
+from rillflow.sources.store import exists
 
 GRAM = 3
 
@@ -28,16 +28,13 @@ def grams(text: str) -> list[str]:
 def _index(table: KeyedTable, folder: str, column: str) -> DataFrame:
     """(gram, buckets) of a folder, made if it is not there yet."""
     spark, to = table.spark, f"{table.path}/grams/{column}/{folder}"
-    try:
-        return spark.read.parquet(to)
-    except FAILURES as e:
-        if not conditions(e) & MISSING:
-            raise
+    if exists(spark, to):
+        return spark.read.schema("gram string, buckets array<int>").parquet(to)
     rows = spark.read.schema(T.StructType([table.schema[column], T.StructField("bucket", T.IntegerType())])).parquet(f"{table.path}/data/{folder}")
     names = rows.select("bucket", F.lower(X.last_segment(column)).alias("name")).filter(F.length("name") >= GRAM).distinct()
     every = names.select("bucket", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))).alias("gram")).distinct()
     every.groupBy("gram").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).sortWithinPartitions("gram").write.mode("overwrite").parquet(to)  # a list holds at most all buckets
-    return spark.read.parquet(to)
+    return spark.read.schema("gram string, buckets array<int>").parquet(to)
 
 
 def candidates(table: KeyedTable, text: str, column: str = "program") -> list[int]:

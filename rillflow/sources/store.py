@@ -73,6 +73,12 @@ def claim(spark: SparkSession, path: str, number: int, held: dict) -> bool:
         fs.delete(staged, False)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has been committed."""
+    fs, _ = _files(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
+
+
 def newest(spark: SparkSession, path: str) -> tuple[int, dict] | None:
     """The record of the greatest number; None where there is none."""
     found = max(_numbers(spark, path), default=None)
