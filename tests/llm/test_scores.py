@@ -135,10 +135,10 @@ def test_fold(spark):
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in df.collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 400, "bucket_bytes": 300}])
-def test_context_tree_weighting(spark, sizes):
+@pytest.mark.parametrize("depth, sizes", [(3, {}), (3, {"part_bytes": 400, "bucket_bytes": 300}), (L.DEPTH, {"part_bytes": 900, "bucket_bytes": 700})])
+def test_context_tree_weighting(spark, depth, sizes):
     docs = [(i, t if t is None or len(t) < 500 else t[:300]) for i, t in ODD] + [(100 + k, " ".join(VOCAB[k : k + 9])) for k in range(12)]
-    got, want = rows(L.lm_scores(frame(spark, docs), depth=3, **sizes)), context_trees(docs, 3)
+    got, want = rows(L.lm_scores(frame(spark, docs), depth=depth, **sizes)), context_trees(docs, depth)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5] for r in got], [r[5] for r in want]) and np.allclose([r[6] for r in got], [r[6] for r in want], rtol=1e-4)
     assert L.lm_scores(frame(spark, [])).count() == 0
@@ -203,3 +203,14 @@ def test_pages(spark):
     got = rows(extract(df).select("page_id", "n_chars"))
     assert got == sorted([(1, len(main_text(ARTICLE))), (2, 0), (2, 0), (None, 249_999)], key=str)
     assert extract(df.filter(F.lit(False))).count() == 0
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    """Labelled rows that were not learnt from: toxic ones score higher more often than not (measured: 0.80 of the pairs)."""
+    from rillflow.llm.queries import op5_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    found = op5_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").select("score", "toxic").collect()
+    toxic, clean = ([r["score"] for r in found if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) > 10 and len(clean) > 50
+    assert sum(t > c for t in toxic for c in clean) >= 0.7 * len(toxic) * len(clean)
