@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import MOST_PARTITIONS, batch_of, dealt, no_cycles, part_edges, part_of, parted, stored, text_bytes
 
-SPAN, GRAM, PIECE_WINDOWS, HEAVY, BATCH_WINDOWS = 50, 24, 32, 64, 1 << 18
+SPAN, GRAM, PIECE_WINDOWS, HEAVY, MANY_BATCHES, BATCH_WINDOWS = 50, 24, 32, 64, 512, 1 << 18
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -159,7 +159,7 @@ def _answer(t: pa.Table) -> pa.Table:
     marks = np.bitwise_or.reduceat(every[order] & np.uint64(3), at)
     shared = (n > 1) | ((marks & np.uint64(1)) > 0)
     # hot: one batch has met it in very many places, or very many batches have it
-    keys, hot = s[at][shared], ((marks[shared] >> np.uint64(1)) | (n[shared] >= HEAVY)).astype(np.uint64)
+    keys, hot = s[at][shared], ((marks[shared] >> np.uint64(1)) | (n[shared] >= MANY_BATCHES)).astype(np.uint64)
     rows = []
     for part, blob in zip(parts, blobs):
         mine = np.searchsorted(keys, blob >> np.uint64(2))
