@@ -93,8 +93,16 @@ def met_windows(text: Column, length: int) -> Column:
     def of(meets: int, found: Column) -> Column:
         return F.transform(found, lambda t: F.struct(F.lit(meets).alias("meets"), t.alias("t")))
 
-    forms = [of(0, templates(text, length)), of(1, templates(single_spaced(text), length)), of(2, templates(single_spaced(text), length, False))]
-    return F.when(differ, F.concat(*forms)).otherwise(of(-1, templates(text, length)))
+    # The second form differs from the first only where a name or a unit follows white space that is no single space.
+    spaced = F.coalesce(text, F.lit("")).rlike(r"[a-z0-9,;](?:\s\s+|[^\S ])[A-Z][a-z]|[0-9](?:\s\s|[^\S ])")
+    third = of(2, templates(single_spaced(text), length, False))
+
+    def forms(first: Column) -> Column:
+        second = F.when(spaced, templates(single_spaced(text), length)).otherwise(first)
+        return F.concat(of(0, first), of(1, second), third)
+
+    # a list of one list binds the first form, so that it is made once
+    return F.when(differ, F.flatten(F.transform(F.array(templates(text, length)), forms))).otherwise(of(-1, templates(text, length)))
 
 
 def templates(text: Column, length: int = WORDS, names: bool = True) -> Column:
