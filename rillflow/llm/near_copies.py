@@ -1,11 +1,11 @@
-"""SimHash near-dedup's sister for a Jaccard similarity: positional inverted index with count filtering over MinHash positions.
+"""SimHash near-dedup for a Jaccard similarity: wide fingerprints, an inverted index over their byte positions, count filtering, exact check.
 
-Texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. The positional bytes of a SimHash fingerprint
-cannot find these: at 0.8 about 10 of 64 bits differ, so two such texts need not share one of the 8 bytes, and the guaranteed minimum
-of shared positions is 0. A signature here has 128 MinHash positions instead, each of which two texts share with the probability of
-their similarity. As in the SimHash index, texts are posted under combinations of positions (32 of 4 each; two texts of similarity
-0.8 share none with probability (1 - 0.8^4)^32 = 5e-8), pairs of a posting list are kept when enough positions agree (by one bit of each),
-and what is left is verified: inside a candidate group shingle sets are compared pair by pair, except pairs that other links connect already.
+Texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. A fingerprint is SimHash's, each bit the
+majority of its shingles' votes, but of 2,048 bits: two texts of similarity 0.8 differ in some 15 % of the bits, about 10 of 64, and need
+not share one of the 8 bytes of a short fingerprint; of 256 bytes they share about 70. Texts are posted under pairs of byte
+positions (128 of them; texts of similarity 0.8 share a pair with probability 0.08 each, and none of all with about 5e-5, very short ones up to 4e-4;
+at 0.85 it is below 1e-6). Pairs of a posting list are kept when enough of 192 one-bit positions agree, and what is left is verified:
+inside a candidate group shingle sets are compared pair by pair, except pairs that other links connect already.
 
 Defined cases: words are divided by ASCII white space and lower-cased as bytes; a text of fewer words than a shingle is one shingle, null
 and empty texts (and texts of white space only) are one empty shingle; rows are told apart by their text (its SHA-256), never by their id, so null and
@@ -26,14 +26,20 @@ from rillflow.llm.common import as_bytes, batch_of, connected_components, counte
 from rillflow.llm.simhash import spanning
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
-#: Of 128 one-bit values 12.8 differ on average at similarity 0.8 (standard deviation 3.4).
-SKETCH_BITS = 36
+#: Byte positions of a fingerprint, and pairs of them that are posted: posting lists number LISTS.
+BYTES = 256
+PAIRS = BYTES // 2
+LISTS = PAIRS << 16
+#: Votes of a shingle for each bit: with one, texts of very few shingles differ in more bits than their similarity asks for.
+VOTES = 3
+#: Words of 64 bits that a posting carries; of their 192 bits 28 to 31 differ on average at similarity 0.8 (standard deviation 5), 96 of unlike texts (7).
+SKETCH, SKETCH_BITS = 3, 56
 _RNG = np.random.default_rng(42)
-TIMES = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-MIX = _RNG.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ONE_BIT = np.uint64(0x9E3779B97F4A7C15)
+TIMES = _RNG.integers(1, 1 << 63, VOTES * BYTES // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _RNG.integers(0, 1 << 63, VOTES * BYTES // 8, dtype=np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: So many shingles are counted in a byte for each bit.
+AT_ONCE = 255 // VOTES
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -43,29 +49,29 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xx(s, 42) for s in found], np.uint64))
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, one-bit values in two words)."""
-    least = np.full(len(TIMES), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * TIMES + PLUS).min(0), out=least)
-    bands = (least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64)
-    return bands ^ (bands >> np.uint64(29)), np.packbits((least * ONE_BIT) >> np.uint64(63) == 1).view(np.uint64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The wide SimHash of a set of shingle hashes: BYTES bytes, each bit set if over half of the votes are."""
+    ones = np.zeros(BYTES * 8, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        x = hashes[at : at + AT_ONCE, None] * TIMES + PLUS
+        x ^= x >> np.uint64(29)
+        x *= MIX
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8).reshape(-1, BYTES), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > VOTES * len(hashes))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """One row per distinct text, stored: sha (its digest), key (a number of its own), id (the smallest), n (rows), s0 and s1 (one-bit
-    values), bands; text does not leave its task."""
-    out = pa.schema([("sha", pa.binary()), ("id", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("bands", pa.binary())])
+    """One row per distinct text, stored: sha (its digest), key (a number of its own), id (the smallest), n (rows), fp (its fingerprint); text does not leave its task."""
+    out = pa.schema([("sha", pa.binary()), ("id", pa.int64()), ("fp", pa.binary())])
 
     @lean
     def run(batches):
         for b in batches:
-            got = [signature(shingles(t, words)) for t in as_bytes(b.column(2))]
-            bits = np.array([s for _, s in got], np.uint64).reshape(-1, 2).view(np.int64)
-            yield batch_of(out, b.column(0), b.column(1).cast(pa.int64()), bits[:, 0], bits[:, 1], [k.tobytes() for k, _ in got])
+            yield batch_of(out, b.column(0), b.column(1).cast(pa.int64()), [fingerprint(shingles(t, words)).tobytes() for t in as_bytes(b.column(2))])
 
-    each = docs.select(digest_of(text_col).alias("sha"), id_col, text_col).mapInArrow(run, "sha binary, id long, s0 long, s1 long, bands binary")
-    texts = each.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("s0", "s1", "bands")])
+    each = docs.select(digest_of(text_col).alias("sha"), id_col, text_col).mapInArrow(run, "sha binary, id long, fp binary")
+    texts = each.groupBy("sha").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("fp").alias("fp"))
     return stored(texts.withColumn("key", F.monotonically_increasing_id()))  # stored, so that a text keeps its number
 
 
@@ -77,33 +83,70 @@ def tiled(df: DataFrame, large: DataFrame, on: str) -> DataFrame:
     """df with a block for each pair of tiles that its row belongs to. large: `on` and tiles of the groups of more than one tile; the others
     are one block each, so rows are dealt where they lie and shuffled by block only."""
     own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    dealt = df.join(counted(stored(large)), on, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    large = stored(large)
+    if not large.count():
+        return df.withColumn("block", F.xxhash64(on)).drop(on)
+    dealt = df.join(counted(large), on, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return dealt.withColumn("block", F.xxhash64(on, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "tiles", on)
 
 
+def lists_of(fps: list[bytes]) -> np.ndarray:
+    """The numbers of the posting lists of each fingerprint, one for each pair of byte positions."""
+    return np.frombuffer(b"".join(fps), np.uint16).reshape(-1, PAIRS).astype(np.int64) + (np.arange(PAIRS) << 16)
+
+
+def long_lists(texts: DataFrame, tile: int) -> DataFrame:
+    """(list, tiles) of all posting lists of more than a tile. Lists are counted inside the tasks, and a task tells those that reach its share
+    of a tile; lists that no task tells are no longer than a tile."""
+    share = max(1, tile // max(1, texts.rdd.getNumPartitions()))
+    out = pa.schema([("list", pa.int64()), ("n", pa.int64())])
+
+    @lean
+    def run(batches):
+        n = np.zeros(LISTS, np.uint32)
+        for b in batches:
+            for fps in chunks(b.column(0).to_pylist()):
+                np.add.at(n, lists_of(fps).ravel(), 1)
+        told = np.flatnonzero(n > share)
+        yield batch_of(out, told, n[told].astype(np.int64))
+
+    told = texts.select("fp").mapInArrow(run, "list long, n long").groupBy("list").agg(F.sum("n").alias("n"))
+    # What tasks did not tell of a list is less than a tile.
+    return told.select("list", F.ceil((F.col("n") + tile) / tile).cast("int").alias("tiles"))
+
+
+def chunks(values: list, most: int = 1000):
+    return (values[at : at + most] for at in range(0, len(values), most))
+
+
 def candidates(texts: DataFrame, n: int, tile: int = 8192, bucket_rows: int = 200_000) -> DataFrame:
-    """(a, b): links that connect all texts which share a band and have close one-bit signatures."""
+    """(a, b): links that connect all texts which share a pair of bytes and have close one-bit positions. A list holds one of 65,536 texts."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    posted = pa.schema([(c, pa.int64()) for c in ("key", *sketch, "list")])
 
     @lean
     def split(batches):
         for b in batches:
-            keys = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
-            yield batch_of(pa.schema([(c, pa.int64()) for c in ("key", "s0", "s1", "band")]), *[np.repeat(b.column(k).to_numpy(), BANDS) for k in range(3)], keys + np.tile(np.arange(BANDS), b.num_rows))
+            for some in chunks(list(zip(*(b.column(k).to_pylist() for k in (0, 1))))):
+                fps = [fp for _, fp in some]
+                head = np.array([np.frombuffer(fp, np.int64, SKETCH) for fp in fps])
+                yield batch_of(posted, np.repeat(np.array([key for key, _ in some]), PAIRS), *[np.repeat(head[:, k], PAIRS) for k in range(SKETCH)], lists_of(fps).ravel())
 
-    posts = texts.select("key", "s0", "s1", "bands").mapInArrow(split, "key long, s0 long, s1 long, band long")
-    large = posts.groupBy("band").count().filter(F.col("count") > tile).select("band", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    buckets = max(1, math.ceil(n * BANDS / bucket_rows))
+    posts = texts.select("key", "fp").mapInArrow(split, ", ".join(f"{c} long" for c in posted.names))
+    buckets = max(1, math.ceil(n * PAIRS / bucket_rows))
 
     def run(t: pa.Table) -> pa.Table:
-        key, s0, s1, block = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "s0", "s1", "block"))
-        order = np.lexsort((s1, s0, block))
-        key, s0, s1, block = key[order], s0[order].view(np.uint64), s1[order].view(np.uint64), block[order]
-        a, b = spanning(key, block, lambda i, j: np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= SKETCH_BITS)
+        key, *bits, block = (t.column(c).to_numpy().astype(np.int64) for c in ("key", *sketch, "block"))
+        order = np.lexsort((*bits[::-1], block))
+        key, bits, block = key[order], [s[order].view(np.uint64) for s in bits], block[order]
+        a, b = spanning(key, block, lambda i, j: sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in bits) <= SKETCH_BITS)
         release()
         return pa.Table.from_batches([batch_of(out, a, b)], out)
 
-    return tiled(posts, large, "band").withColumn("bucket", F.pmod("block", F.lit(buckets))).groupBy("bucket").applyInArrow(run, "a long, b long")
+    # No list is longer than all texts together.
+    dealt = tiled(posts, long_lists(texts, tile), "list") if n > tile else posts.withColumn("block", F.xxhash64("list")).drop("list")
+    return dealt.withColumn("bucket", F.pmod("block", F.lit(buckets))).groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def _alike(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

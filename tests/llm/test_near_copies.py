@@ -56,3 +56,29 @@ def test_rows_without_an_id_of_their_own(spark):
     assert rows(kept.select("doc_id", "text")) == sorted([(3, "X  y z"), (7, near + " end"), (None, "kept by its text")], key=str)
     assert sorted(r["doc_id"] or 0 for r in N.near_copies(frame(spark)).collect()) == [1, 4, 6, 8] and len(ODD) == 10
     assert N.near_copies(frame(spark, [])).count() == 0
+
+
+def test_fingerprints_are_simhash():
+    for n in (1, 4, 90, 400):
+        h = RNG.integers(0, 1 << 63, n, dtype=np.uint64)
+        x = h[:, None] * N.TIMES + N.PLUS
+        x = (x ^ (x >> np.uint64(29))) * N.MIX
+        votes = np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8).reshape(n * N.VOTES, N.BYTES), axis=1).astype(int).sum(0)
+        assert (np.unpackbits(N.fingerprint(h)) == (2 * votes > n * N.VOTES)).all()
+
+
+def test_texts_of_similarity_08_share_bytes():
+    for n in (4, 8, 40, 400):
+        for _ in range(100):
+            h = RNG.integers(0, 1 << 63, n * 5 // 4, dtype=np.uint64)
+            a, b = N.fingerprint(h), N.fingerprint(h[:n])
+            assert (a.view(np.uint16) == b.view(np.uint16)).any()
+            assert np.bitwise_count(a[: 8 * N.SKETCH] ^ b[: 8 * N.SKETCH]).sum() <= N.SKETCH_BITS
+
+
+def test_long_lists_are_told(spark):
+    docs = [(k, f"one text in many copies that differ by a word at its end and {k}") for k in range(40)]
+    texts = N.signatures(frame(spark, docs), "doc_id", "text", 5)
+    n = np.bincount(N.lists_of([r["fp"] for r in texts.select("fp").collect()]).ravel())
+    told = {r["list"]: r["tiles"] for r in N.long_lists(texts, 8).collect()}
+    assert set(np.flatnonzero(n > 8).tolist()) <= set(told) and all(8 * t >= n[k] for k, t in told.items())
