@@ -35,7 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of texts that five-word shingles with a Jaccard similarity of 0.8 or more link; op3's contract is fingerprints within 4 bits."""
+    """One row of each class of texts that five-word shingles with a Jaccard similarity of 0.8 or more link. op3's method on wider SimHash fingerprints: an index
+    over their byte positions, count filtering, then an exact check; op3's own contract is fingerprints within 4 bits."""
     from rillflow.llm.near_copies import near_copies
 
     return near_copies(docs)
