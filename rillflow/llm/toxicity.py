@@ -56,6 +56,10 @@ def ngrams(words: list[str], bits: int = TABLE_BITS) -> tuple[np.ndarray, np.nda
     return np.concatenate(entries), np.concatenate(owners)
 
 
+#: Words whose n-grams are held at once, some 200 bytes for each character.
+WORDS_AT_ONCE = 4096
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # log odds that one n-gram adds, times the scale
@@ -65,14 +69,22 @@ class Model:
         out = np.zeros(len(texts))
         for first, rows in slices_of(texts):
             met, which, per_text = word_lists(rows)
-            entry, owner = ngrams(met) if met else (np.empty(0, np.int64), np.empty(0, np.int64))
-            total = np.bincount(owner, self.weight[entry], len(met))
-            count = np.bincount(owner, minlength=len(met))
+            total, count = self.of_words(met)
             text = np.repeat(np.arange(len(rows)), per_text)
             sums, n = np.bincount(text, total[which], len(rows)), np.bincount(text, count[which], len(rows))
             out[first : first + len(rows)] = sums / np.maximum(n, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the weights, and number, of each word's n-grams."""
+        total, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            entry, owner = ngrams(some)
+            total[at : at + len(some)] = np.bincount(owner, self.weight[entry], len(some))
+            count[at : at + len(some)] = np.bincount(owner, minlength=len(some))
+        return total, count
+
 
 def bag(text: str) -> bytes:
     """The distinct n-grams of a text, each as table entry and count (at most 2^COUNT_BITS - 1) in 32 bits."""

@@ -214,3 +214,17 @@ def test_toxicity_ranks_held_out_rows(spark):
     toxic, clean = ([r["score"] for r in found if r["toxic"] == y] for y in (1, 0))
     assert len(toxic) > 10 and len(clean) > 50
     assert sum(t > c for t in toxic for c in clean) >= 0.7 * len(toxic) * len(clean)
+
+
+def test_scores_hold_the_ngrams_of_few_words_at_once(monkeypatch):
+    import tracemalloc
+
+    texts = pa.array([" ".join(f"word{k:x}number{k * 7919 % 9973}" for k in range(at, at + 2000)) for at in range(0, 100_000, 2000)])
+    model = T.Model(np.random.default_rng(4).normal(size=1 << T.TABLE_BITS), 0.1)
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    monkeypatch.setattr(T, "WORDS_AT_ONCE", 1 << 30)
+    assert (model.scores(texts) == got).all()
