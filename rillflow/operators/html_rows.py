@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, chain
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.tables import parsed
+from rillflow.functions.tables import Row, table_rows
 from rillflow.functions.text import null_if_empty
 
 #: The class of detail rows, and patterns of the tags in them.
@@ -35,18 +37,35 @@ def decoded(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-_CELL = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.string())), ("href", pa.string())])
-_ROWS = pa.list_(pa.struct([("cls", pa.string()), ("cells", pa.list_(_CELL)), ("divs", pa.list_(pa.string())), ("text", pa.string())]))
+#: Pages whose rows are held at once.
+PAGES_AT_ONCE = 100
 ROWS = "array<struct<cls:string,cells:array<struct<text:string,spans:array<string>,href:string>>,divs:array<string>,text:string>>"
 
 
+def _listed(lists: list, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), values)
+
+
+def arrays(pages: list[list[Row]]) -> pa.ListArray:
+    """The rows of some pages as one column of type ROWS, made level by level."""
+    rows = list(chain.from_iterable(pages))
+    cells = list(chain.from_iterable(r.cells for r in rows))
+    spans, divs = [c.spans for c in cells], [r.divs for r in rows]
+    text = lambda values: pa.array(values, pa.string())
+    cell = pa.StructArray.from_arrays([text([c.text for c in cells]), _listed(spans, text(list(chain.from_iterable(spans)))), text([c.href for c in cells])], ["text", "spans", "href"])
+    row = [text([r.cls for r in rows]), _listed([r.cells for r in rows], cell), _listed(divs, text(list(chain.from_iterable(divs)))), text([r.text for r in rows])]
+    return _listed(pages, pa.StructArray.from_arrays(row, ["cls", "cells", "divs", "text"]))
+
+
 def rows_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, rows): all table rows of each page in order. No shuffle."""
 
     def read(batches):
         for b in batches:
-            rows = pa.array([parsed(h or "") for h in b.column(2).to_pylist()], _ROWS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["page_id", "url", "rows"])
+            for at in range(0, b.num_rows, PAGES_AT_ONCE):
+                some = b.slice(at, PAGES_AT_ONCE)
+                rows = arrays([table_rows(h or "") for h in some.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), rows], ["page_id", "url", "rows"])
 
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, url_col, html_col).mapInArrow(read, f"page_id {kind}, url string, rows {ROWS}")
@@ -73,8 +92,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     status_text = cell(3)["text"]
     status, decision = tag(status_text, "status"), tag(status_text, "decision date")
     status = F.when(status.isin("Accepted", "Rejected") & decision.isNotNull(), F.concat(status, F.lit(" on "), decision)).otherwise(status)
-    # The tags are the innermost div elements of the first detail row.
-    tags = F.filter(F.coalesce(F.col("tags.divs"), F.array().cast("array<string>")), lambda x: (x != "") & ~x.rlike(TAGS["status"]))
+    # The tags are the innermost div elements of the first detail row; a column of their own, so that they are sorted out once a record.
+    tags = F.col("__tags")
+    r = r.withColumn("__tags", F.filter(F.coalesce(F.col("tags.divs"), F.array().cast("array<string>")), lambda x: (x != "") & ~x.rlike(TAGS["status"])))
     last = lambda name: null_if_empty(F.regexp_extract(F.coalesce(F.try_element_at(F.filter(tags, lambda x: x.rlike(TAGS[name])), F.lit(-1)), F.lit("")), TAGS[name], 0))
     span = lambda i: F.coalesce(F.get(cell(1)["spans"], F.lit(i)), F.lit(""))
     return r.select(
